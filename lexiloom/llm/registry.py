@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, ngram, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_simhash": simhash.query,
+    "op6_lm_score": ngram.query,
     "op8_decontaminate": decontaminate.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_bpe": bpe.query,
