@@ -37,7 +37,7 @@ SHARD_BYTES = 16 << 20
 HOT_COUNT = 200_000
 HOT_LIMIT = 20_000
 #: Tokens that a task sorts at once.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 BEGIN, END = U(0x6C6578696C6F6F6D), U(0x656E642D6F662D74)
 
