@@ -1,7 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The texts' distinct words (after splitting at ASCII white space, normalising and pre-splitting) of a piece of a
-partition are laid out as one array of symbols with links to neighbours. An index maps each adjacent pair that has a merge rank to
+The distinct words (after normalising and pre-splitting) of a piece of a partition are laid out as one array of symbols with links to neighbours. An index maps each adjacent pair that has a merge rank to
 all its positions. Ranks that occur are taken in ascending order from a heap; one step merges all positions of a pair in
 the piece at once, left to right without overlap, and puts the pairs that arise into the lists of their ranks.
 Stale positions are recognised by the symbols that stand there now. Each distinct word is merged once per piece, and a
@@ -19,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ class Codec:
     """A vocabulary file as arrays, with the encoder and decoder."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -83,23 +85,55 @@ class Codec:
         self.split = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t, _ in self.added) + ")") if self.added else None
         self.special_id = dict(self.added)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def normal(self, chunk: str) -> str:
-        if "NFC" in self.steps:
-            chunk = unicodedata.normalize("NFC", chunk)
-        return "".join(c.lower() for c in chunk) if "Lowercase" in self.steps else chunk  # one character at a time
-
-    def words(self, chunk: str) -> list:
-        """The chunk's words in bytes, added tokens as ids."""
+        # in ASCII and lower case the usual pattern needs no tables
+        known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+") if split["pattern"]["Regex"] == known and "Lowercase" in self.steps else None
+        self.assigned: dict[str, bool] = {}
+        self.reset()
+
+    def normal(self, text: str) -> str:
+        if "NFC" in self.steps and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if "Lowercase" not in self.steps:
+            return text
+        # lower() looks at the neighbours of one character only
+        return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+
+    def pre(self, text: str) -> list[str]:
+        """The words of a text without added tokens."""
+        if text.isascii():
+            low = self.normal(text)
+            return self.ascii.findall(low) if self.ascii else self.split.findall(low)
+        unknown = False
+        for c in set(text):
+            if c not in self.assigned:
+                self.assigned[c] = unicodedata.category(c) != "Cn"
+            unknown |= not self.assigned[c]
+        return self.newer(text) if unknown else self.split.findall(self.normal(text))
+
+    def words(self, text: str) -> list:
+        """The text's words, added tokens as ids."""
+        if self.special is None or not self.special.search(text):
+            return self.pre(text)
         out: list = []
-        for k, part in enumerate(self.special.split(chunk) if self.special else [chunk]):
+        for k, part in enumerate(self.special.split(text)):
             if k % 2:
                 out.append(self.special_id[part])
             elif part:
-                out += [w.encode() for w in self.split.findall(self.normal(part))]
+                out += self.pre(part)
         return out
 
+    def newer(self, text: str) -> list[str]:
+        """The words of a text with characters that Python's tables don't know: normalised and split by the library, whose
+        tables are of other versions. Merging is ours for them too."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte_of[s] for s in w).decode() for w, _ in found]
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of pairs, -1 where there's none."""
         keys = left * self.size + right
@@ -173,38 +207,42 @@ class Codec:
         of = np.repeat(np.arange(len(words)), lens)
         return sym[:n][live], np.bincount(of[live], minlength=len(words))
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of each chunk (no white space in it)."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        fresh = list({c for c in chunks if c not in self.cache})
-        if fresh:
-            parts = [self.words(c) for c in fresh]
-            index: dict[bytes, int] = {}
-            for words in parts:
-                for w in words:
-                    if not isinstance(w, int):
-                        index.setdefault(w, len(index))
-            ids, counts = self.merge(list(index))
-            upto = np.cumsum(counts)
-            begins, to, ids = (upto - counts).tolist(), upto.tolist(), ids.astype("<u4")
-            for c, words in zip(fresh, parts, strict=True):
-                if len(words) == 1 and not isinstance(words[0], int):
-                    k = index[words[0]]
-                    self.cache[c] = ids[begins[k] : to[k]]
-                else:
-                    own = [np.array([w], "<u4") if isinstance(w, int) else ids[begins[index[w]] : to[index[w]]] for w in words]
-                    self.cache[c] = np.concatenate(own) if own else ids[:0]
-        return [self.cache[c] for c in chunks]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
-        split = [split_white(t) for t in texts]
-        distinct = list({c for chunks in split for c in chunks})
-        ids = self.encode_chunks(distinct)
-        of = dict(zip(distinct, ids, strict=True))
-        none = np.zeros(0, "<u4")
-        return [np.concatenate([of[c] for c in chunks]) if chunks else none for chunks in split]
+        if len(self.index) > CACHE_WORDS:
+            self.reset()
+        split = [self.words(t) for t in texts]
+        index = self.index
+        old = len(index)
+        for words in split:
+            for w in words:
+                if w not in index:
+                    index[w] = len(index)
+        if len(index) > old:
+            fresh = list(islice(index, old, None))
+            plain = [b"" if isinstance(w, int) else w.encode() for w in fresh]
+            ids, counts = self.merge(plain)
+            added = [k for k, w in enumerate(fresh) if isinstance(w, int)]
+            if added:
+                at = np.cumsum(counts)[added] - counts[added]
+                ids = np.insert(ids, at, [fresh[k] for k in added])
+                counts[added] = 1
+            self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(counts) - counts))
+            self.counts = np.concatenate((self.counts, counts))
+            self.ids = np.concatenate((self.ids, ids.astype("<u4")))
+        out = []
+        for words in split:
+            k = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            n = self.counts[k]
+            upto = np.cumsum(n)
+            total = int(upto[-1]) if len(n) else 0
+            out.append(self.ids[np.repeat(self.begins[k] - upto + n, n) + np.arange(total)])
+        return out
+
+    def reset(self) -> None:
+        """Empty the cache: words (added tokens: their ids) by number, and where their ids lie."""
+        self.index: dict = {}
+        self.begins, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the tokens, joined by a space, as the file names no decoder."""
@@ -212,15 +250,6 @@ class Codec:
         return " ".join([tokens[i] for i in ids.tolist()])
 
 
-_WHITE = regex.compile(r"[\x20\x09-\x0D]+")
-_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-
-
-def split_white(text: str) -> list[str]:
-    """Pieces between ASCII white space; what comes of the text doesn't depend on it, as no word crosses white space."""
-    return [c for c in _WHITE.split(text) if c] if _ODD.search(text) else text.split()
-
-
 _codecs: dict[str, Codec] = {}
 
 
