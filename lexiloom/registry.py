@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lexiloom.plans import retrieval
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (retrieval,):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
