@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import shared_path, written
 
 #: Hashes that a shard is to hold.
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 500_000
 
 
 def _local(uri: str) -> str | None:
