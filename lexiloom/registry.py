@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import retrieval
+from lexiloom.plans import catalogue, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (retrieval,):
+for _part in (retrieval, catalogue):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
