@@ -34,6 +34,8 @@ from .texthash import U, chain, mix
 LENGTH = 400
 #: Bytes of a text that are handled at once, besides an overlap.
 PART = 4 << 20
+#: Bytes of short texts that are handled at once.
+PIECE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _tables: list[np.ndarray] = []
@@ -132,7 +134,7 @@ class Ranks:
 def parts(batches, length: int):
     """(batch, buf, offsets, skip) of pieces; a long text comes alone, in parts that share length - 1 bytes, with its own
     number of the part as skip (None for pieces of whole texts)."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE):
         buf, offsets = text_bytes(batch.column(1))
         if len(buf) <= 2 * PART or batch.num_rows > 1:
             yield batch, buf, offsets, None
@@ -200,7 +202,7 @@ def _covered(r: Ranks, n: int, ranks: Sets, classes: Sets, doubles: Sets) -> np.
 def _removal(length: int, again: tuple, whole: tuple, twice: tuple, texts: bool):
     def run(batches):
         sets = Sets(*again), Sets(*whole), Sets(*twice)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             buf, offsets = text_bytes(batch.column(1))
             change = np.zeros(len(buf) + 1, np.int32)
             if len(buf) <= 2 * PART or batch.num_rows > 1:
