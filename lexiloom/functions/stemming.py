@@ -50,6 +50,7 @@ def _longest(w: str, endings) -> str | None:
 
 @lru_cache(1 << 17)
 def stem(w: str) -> str:
+    """The stem of a word; one character is one byte."""
     if not 3 <= len(w) <= 64:
         return w
     if w.endswith("sses") or w.endswith("ies"):
@@ -99,7 +100,7 @@ def folded(t: str) -> str:
 
 
 def stems(t: str) -> list[str]:
-    return [stem(w) for w in _WORD.findall(folded(t))]
+    return [stem(w) if w.isascii() else stem(w.encode().decode("latin-1")).encode("latin-1").decode() for w in _WORD.findall(folded(t))]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -75,7 +75,7 @@ def heading_propagation(spark, sf_dir):
     return sections(_docs(spark, sf_dir)).select("doc_id", "ordinal", F.coalesce(F.last(F.when(is_heading, t), ignorenulls=True).over(w), F.lit("")).alias("heading"))
 
 
-_PARA = """p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n')) AS t FROM documents)"""
+_PARA = """p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\\r\\n?', chr(10), 'g'), '\\n(?:[ \\t]*\\n)+')) AS t FROM documents)"""
 
 
 @query(f"WITH {_PARA}, q AS (SELECT doc_id, regexp_replace(t, '^\\n+|\\n+$', '', 'g') AS t FROM p WHERE trim(t) <> '') SELECT doc_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM q GROUP BY doc_id")
@@ -160,7 +160,7 @@ def dominant_script(spark, sf_dir):
     return rows.withColumn("script", F.coalesce(T.script(F.col("arabic"), F.col("han"), F.col("kana"), F.col("latin")), F.lit("none")))
 
 
-@query("""SELECT conv_id, turn, round(length(text) * 0.06, 6) AS duration, round(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 0.06, 6) AS start FROM conversations""")
+@query("""SELECT conv_id, turn, round(length(text) * 0.06::DOUBLE, 6) AS duration, round(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 0.06::DOUBLE, 6) AS start FROM conversations""")
 def timing_index(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("chars"))
     rows = timing.timed(c, "conv_id", "turn", "chars")

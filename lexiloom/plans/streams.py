@@ -17,7 +17,9 @@ ORACLES: dict = {}
 def _work(spark) -> str:
     """A folder that driver and executors share: where checkpoints go, or, locally, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiloom-stream-")
-    return f"{root.rstrip('/')}/backfill-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/backfill-{uuid.uuid4().hex}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return at.toString()
 
 
 def backfill_available_now(spark, sf_dir):

@@ -77,7 +77,7 @@ def decode(data: pd.Series, fmt: pd.Series) -> pd.DataFrame:
 def paragraphs(t: Column) -> Column:
     """Plain text's paragraphs: parted by blank lines."""
     even = F.regexp_replace(t, "\r\n?", "\n")
-    return F.filter(F.transform(F.split(even, r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")), lambda p: F.trim(p) != "")
+    return F.filter(F.transform(F.split(even, r"\n(?:[ \t]*\n)+"), lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")), lambda p: F.trim(p) != "")
 
 
 def text_as_html(t: Column) -> Column:
