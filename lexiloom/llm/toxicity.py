@@ -27,11 +27,11 @@ from .texthash import LOWER, PUNCT, chain, span_hashes, spans
 #: Places of features, as a power of two.
 BITS = 20
 #: Bound of the sample on which the classifier is fitted.
-SAMPLE_ROWS = 12_000
-SAMPLE_CHARS = 32_000_000
+SAMPLE_ROWS = 20_000
+SAMPLE_CHARS = 48_000_000
 #: FTRL's rates and regularisation, passes over the sample, and the weight of a toxic row against a clean one.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.05
-EPOCHS = 6
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 10.0, 0.01
+EPOCHS = 8
 THRESHOLD = 0.5
 
 U = np.uint64
@@ -105,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
             z[at] += g - (np.sqrt(n_new) - np.sqrt(n[at])) / ALPHA * w
             n[at] = n_new
             bias_n += g * g
-            bias -= 0.05 * g / (1 + math.sqrt(bias_n))
+            bias -= ALPHA * g / (BETA + math.sqrt(bias_n))
     every = np.arange(size)
     w = weights(every)
     some = np.flatnonzero(w)
