@@ -125,7 +125,7 @@ def parse(html: str, opened: Counter | None = None) -> list[Block]:
         m = TAG.search(html, at)
         if m is None:
             tail = html[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^<]*\Z", tail)  # a tag that was cut off
+            cut = re.compile(r"<[a-zA-Z/!?]").search(tail, tail.rfind(">") + 1)  # a tag that was cut off
             add(tail[: cut.start()] if cut else tail)
             break
         if m.start() > at:
