@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of the labelled rows: those with the lea
 SAMPLE_CHARS characters at most. Statistics of the fit are the sample's; scoring covers every row and whole texts.
 
 Defined results: null and empty texts have no features and score the bias; labels that are null don't count as labels;
-rows without doc_id are held in (crc32 of the empty text) and scored; a table without labelled rows, or with one class,
+rows without doc_id count as held out (crc32 of the empty text is 0) and are scored; a table without labelled rows, or with one class,
 gives the smoothed share of toxic rows (0.5 with no labels) as every score; repeated rows repeat; an empty table gives an
 empty result; other columns are ignored here and passed through by reject().
 """
