@@ -75,10 +75,20 @@ class Scored:
 def scored(sections: DataFrame, wanted: list[Clause], title: float = TITLE, text: float = TEXT) -> Scored:
     """Scores by the whole collection's statistics; scope is for whoever filters the rows afterwards."""
     m = matrix(sections, wanted)
+    return scored_matrix(m, wanted, m.agg(F.count("*").alias("all_rows"), F.sum("d").alias("all_tokens"), *frequencies(wanted)), title, text)
+
+
+def frequencies(wanted: list[Clause]) -> list[Column]:
+    """Sections with each alias: n in title or text, m in the text."""
     phrases = [(i, j) for i, c in enumerate(wanted) for j in range(len(c))]
-    found = {(i, j): (F.col(f"t{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0) for i, j in phrases}
-    stats = m.agg(F.count("*").alias("all_rows"), F.sum("d").alias("all_tokens"), *[F.count_if(c).alias(f"n{i}_{j}") for (i, j), c in found.items()], *[F.count_if(F.col(f"b{i}_{j}") > 0).alias(f"m{i}_{j}") for i, j in phrases])
-    hits = m.where(reduce(lambda a, b: a | b, found.values())).crossJoin(F.broadcast(stats))  # one row
+    return [F.count_if((F.col(f"t{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0)).alias(f"n{i}_{j}") for i, j in phrases] + [F.count_if(F.col(f"b{i}_{j}") > 0).alias(f"m{i}_{j}") for i, j in phrases]
+
+
+def scored_matrix(m: DataFrame, wanted: list[Clause], stats: DataFrame, title: float = TITLE, text: float = TEXT) -> Scored:
+    """m: the rows of matrix(), at least those with a hit. stats: one row with all_rows, all_tokens and frequencies()."""
+    phrases = [(i, j) for i, c in enumerate(wanted) for j in range(len(c))]
+    found = [(F.col(f"t{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0) for i, j in phrases]
+    hits = m.where(reduce(lambda a, b: a | b, found)).crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int, j: int, tf: Column, n: str) -> Column:
         idf = F.ln((F.col("all_rows") - F.col(n) + 0.5) / (F.col(n) + 0.5))
@@ -112,21 +122,25 @@ def numbered(docs: DataFrame, limit: int, *before: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*ranked(top, *before))).cast("long"))
 
 
-def search(sections: DataFrame, query: list[Clause]) -> DataFrame:
+def _given(rows: DataFrame | Scored, query: list[Clause]) -> Scored:
+    return rows if isinstance(rows, Scored) else scored(rows, query)
+
+
+def search(sections: DataFrame | Scored, query: list[Clause]) -> DataFrame:
     """Documents with a section that has all clauses."""
-    s = scored(sections, query)
+    s = _given(sections, query)
     return collapsed(s, s.every(), s.every("body"))
 
 
-def any_clause(sections: DataFrame, query: list[Clause]) -> DataFrame:
+def any_clause(sections: DataFrame | Scored, query: list[Clause]) -> DataFrame:
     """Documents with any clause."""
-    s = scored(sections, query)
+    s = _given(sections, query)
     return collapsed(s, F.lit(True), s.matched("body") > 0)
 
 
-def document_scope(sections: DataFrame, query: list[Clause]) -> DataFrame:
+def document_scope(sections: DataFrame | Scored, query: list[Clause]) -> DataFrame:
     """Documents that have all clauses, but in no single section; ranked like any_clause()."""
-    s = scored(sections, query)
+    s = _given(sections, query)
     per = s.rows.groupBy("doc_id").agg(
         F.min(F.struct("score", "ordinal")).alias("best"), F.count_if(s.matched("body") > 0).alias("matching_sections"),
         F.bool_or(s.every()).alias("together"), *[F.bool_or(f"hit{i}").alias(f"has{i}") for i in range(s.n)],
@@ -135,10 +149,10 @@ def document_scope(sections: DataFrame, query: list[Clause]) -> DataFrame:
     return per.where(every & ~F.col("together")).select("doc_id", F.col("best.score").alias("score"), F.col("best.ordinal").alias("ordinal"), "matching_sections")
 
 
-def broader(sections: DataFrame, query: list[Clause]) -> DataFrame:
+def broader(sections: DataFrame | Scored, query: list[Clause]) -> DataFrame:
     """Documents with at least half of 3 to 12 clauses (two at least): with the number matched, more first."""
     least = max(-(-len(query) // 2), 2)
-    s = scored(sections, query)
+    s = _given(sections, query)
     per = s.rows.groupBy("doc_id").agg(F.min(F.struct("score", "ordinal")).alias("best"), *[F.bool_or(f"hit{i}").alias(f"has{i}") for i in range(s.n)])
     n = sum((F.col(f"has{i}").cast("long") for i in range(s.n)), F.lit(0).cast("long"))
     rows = per.select("doc_id", F.col("best.score").alias("score"), F.col("best.ordinal").alias("ordinal"), n.alias("matched"), *[f"has{i}" for i in range(s.n)])
