@@ -67,12 +67,17 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. One that's a single file has few row groups, and so few tasks: its rows are dealt out to all cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    df = spark.read.parquet(path)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    return df.repartition(spark.sparkContext.defaultParallelism) if one else df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
 
 
 def pieces(batches, column: str = "text", limit: int = PIECE_BYTES):

@@ -12,7 +12,7 @@ a word z within 1 bit of one and 2 of the other, which takes time and rows in pr
 in components().
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of one or two words are one
-shingle; rows without doc_id get a fingerprint, and component null if nothing with an id is linked; repeated rows repeat;
+shingle; rows without doc_id get a fingerprint, and component null if nothing with an id is linked (ids are below 2**62); repeated rows repeat;
 an empty table gives an empty result; other columns are ignored here and passed through by deduplicate().
 """
 
@@ -187,13 +187,13 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fingerprint (hex), component_id (the least doc_id that links lead to)."""
     fps = written(fingerprints(docs), "fingerprints")
-    none = -(1 << 63)  # stands for a class without any id
-    classes = written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(none) + F.hash("fp").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("rep")), "classes")
+    none = 1 << 62  # from here on: classes without any id, so that ids are always less
+    classes = written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(none) + F.xxhash64("fp").bitwiseAND(F.lit(none - 1))).alias("rep")), "classes")
     roots = components(near_links(classes, radius))
     found = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") >= none + (1 << 33), F.col("component_id")).alias("component_id"),
+        F.when(F.col("component_id") < none, F.col("component_id")).alias("component_id"),
     )
 
 

@@ -122,6 +122,10 @@ def test_simhash_nulls_repeats_and_empty(spark):
     rows = [(None, "alone here now"), (7, "same text is here"), (7, "same text is here"), (None, "same text is here")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_components(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(None, None), (7, 7), (7, 7), (None, 7)], key=str)
+    base = [f"word{i}" for i in range(300)]
+    near = next(t for i in range(300) for t in [" ".join([*base[:i], "changed", *base[i + 1 :]])] if 0 < bin(fingerprint(t) ^ fingerprint(" ".join(base))).count("1") <= 3)
+    linked = simhash.near_components(frame(spark, [(5, " ".join(base)), (None, near)])).collect()
+    assert {r.component_id for r in linked} == {5}
     assert simhash.near_components(frame(spark, [])).count() == 0
 
 
