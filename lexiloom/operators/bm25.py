@@ -38,7 +38,7 @@ def occurrences(words: Column, alias: tuple[str, ...]) -> Column:
 def matrix(sections: DataFrame, wanted: list[Clause]) -> DataFrame:
     """Per section: d (tokens), and for clause i its aliases' hits in the title (t{i}_{j}) and in the text (b{i}_{j}).
 
-    The lambda binds the words, and the generator keeps later filters from being pushed below it, so that each
+    The lambda binds the words, and the (outer) generator keeps filters from being pushed below it, so that each
     section is split into words once.
     """
 
@@ -47,7 +47,7 @@ def matrix(sections: DataFrame, wanted: list[Clause]) -> DataFrame:
         return F.struct((F.size(x["tw"]) + F.size(x["w"])).cast("long").alias("d"), *cols)
 
     words = F.array(F.struct(terms(F.col("title")).alias("tw"), terms(F.col("text")).alias("w")))
-    return sections.select("doc_id", "ordinal", F.explode(F.transform(words, counts)).alias("m")).select("doc_id", "ordinal", "m.*")
+    return sections.select("doc_id", "ordinal", F.explode_outer(F.transform(words, counts)).alias("m")).select("doc_id", "ordinal", "m.*")
 
 
 def _any(wanted: list[Clause], i: int, parts: str = "tb") -> Column:

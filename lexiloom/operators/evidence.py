@@ -35,8 +35,8 @@ def coverage(s: Scored) -> DataFrame:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """doc_id, term, origin (0 title, 1 body): distinct ASCII words of 5 to 24 letters."""
     both = F.array(F.struct(F.lit(0).alias("origin"), F.col("source").alias("t")), F.struct(F.lit(1).alias("origin"), F.col("text").alias("t")))
-    rows = docs.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.origin", F.array_distinct(F.regexp_extract_all(F.lower("s.t"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    rows = rows.select("doc_id", "origin", F.explode(F.filter("w", lambda x: F.length(x).between(5, 24))).alias("term"))
+    rows = docs.select("doc_id", F.explode_outer(both).alias("s")).select("doc_id", "s.origin", F.array_distinct(F.regexp_extract_all(F.lower("s.t"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    rows = rows.select("doc_id", "origin", F.explode_outer(F.filter("w", lambda x: F.length(x).between(5, 24))).alias("term")).where("term IS NOT NULL")
     return rows.select("doc_id", "term", F.col("origin").cast("long").alias("origin"))
 
 

@@ -62,7 +62,7 @@ def passage_input(title: Column, heading: Column, text: Column) -> Column:
 
 def passages(sections: DataFrame) -> DataFrame:
     """doc_id, ordinal, start, end, content_hash of all windows of sections (with title, text)."""
-    rows = sections.select("doc_id", "ordinal", "title", "text", F.explode(passage_ranges("text")).alias("r"))
+    rows = sections.select("doc_id", "ordinal", "title", "text", F.explode_outer(passage_ranges("text")).alias("r")).where("r IS NOT NULL")
     own = F.substring(F.col("text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start"))
     return rows.select("doc_id", "ordinal", "r.start", "r.end", F.sha2(passage_input(F.col("title"), F.lit(None).cast("string"), own).cast("binary"), 256).alias("content_hash"))
 

@@ -8,7 +8,7 @@ from lexiloom.functions import speech, stemming, text as T
 from lexiloom.operators import layout, maintenance, semantic, timing
 from lexiloom.sources import html
 from lexiloom.sources.files import paragraphs, text_as_html
-from lexiloom.sources.tables import sections, table
+from lexiloom.sources.tables import sections, table, texts
 
 from .retrieval import SECTIONS
 
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir, "documents")
 
 
 # pages
@@ -57,12 +57,12 @@ def html_escaped(spark, sf_dir):
 
 @query()
 def html_sections(spark, sf_dir):
-    return html.html_sections(table(spark, sf_dir, "pages")).select("page_id", "ordinal", "is_heading", "heading", "text", "auxiliary")
+    return html.html_sections(texts(spark, sf_dir, "pages")).select("page_id", "ordinal", "is_heading", "heading", "text", "auxiliary")
 
 
 @query()
 def outline_links(spark, sf_dir):
-    return html.outline(html.html_sections(table(spark, sf_dir, "pages")).where("is_heading AND NOT auxiliary"))
+    return html.outline(html.html_sections(texts(spark, sf_dir, "pages")).where("is_heading AND NOT auxiliary"))
 
 
 @query(f"""WITH {SECTIONS}, h AS (SELECT doc_id, ordinal, text, (length(text) < 60 AND NOT contains(text, '.')) AS heading FROM sec)
@@ -82,7 +82,7 @@ _PARA = """p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(replace
 def text_paragraphs(spark, sf_dir):
     """Paragraphs of plain text; the documents' lines are set apart by blank ones."""
     own = paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(own).alias("t")).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("t")).cast("long").alias("chars"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode_outer(own).alias("t")).where("t IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("t")).cast("long").alias("chars"))
 
 
 @query("""SELECT doc_id, '<p>' || replace(replace(replace(replace(replace(replace(regexp_replace(text, '\\n+$', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(10), '<br>') || '</p>' AS html
@@ -121,17 +121,17 @@ SELECT doc_id, unnest(range(len(l)))::BIGINT AS ordinal, unnest(l) AS text FROM
 
 @query(_split_sql(_SENT, "trim(regexp_replace(s, '[ \\t\\n\\r]+', ' ', 'g'))"))
 def sentences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "text")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("ordinal", "text")).where("ordinal IS NOT NULL").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query(_split_sql(_CLAUSE, "trim(s)"))
 def clauses(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.clauses(F.col("text"))).alias("ordinal", "text")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode_outer(T.clauses(F.col("text"))).alias("ordinal", "text")).where("ordinal IS NOT NULL").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query()
 def narration_chunks(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(speech.speech_chunks(F.split("text", "\n"))).alias("index", "c"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode_outer(speech.speech_chunks(F.split("text", "\n"))).alias("index", "c")).where("index IS NOT NULL")
     return rows.select("doc_id", "index", "c.text", "c.start_segment", "c.start_offset", "c.end_segment", "c.end_offset")
 
 
@@ -204,7 +204,7 @@ def stable_hashes(spark, sf_dir):
 @query()
 def lexical_stemmed_terms(spark, sf_dir):
     """Stems and the sections that have them."""
-    rows = sections(_docs(spark, sf_dir)).select("doc_id", F.explode(F.array_distinct(stemming.stemmed("text"))).alias("term"))
+    rows = sections(_docs(spark, sf_dir)).select("doc_id", F.explode_outer(F.array_distinct(stemming.stemmed("text"))).alias("term")).where("term IS NOT NULL")
     return rows.groupBy("term").agg(F.count("*").alias("sections"))
 
 

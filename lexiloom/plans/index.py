@@ -79,7 +79,7 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     rows = rows.withColumn("d", (F.size("tw") + F.size("w")).cast("long"))
     title = F.transform("tw", lambda x: F.struct(x.alias("term"), F.lit(-1).alias("at")))
     text = F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    each = rows.select("doc_id", "ordinal", "d", F.explode(F.concat(title, text)).alias("p")).select("doc_id", "ordinal", "d", "p.term", "p.at")
+    each = rows.select("doc_id", "ordinal", "d", F.explode_outer(F.concat(title, text)).alias("p")).where("p IS NOT NULL").select("doc_id", "ordinal", "d", "p.term", "p.at")
     body = F.col("at") >= 0
     per = each.groupBy("term", "doc_id", "ordinal", "d").agg(F.count_if(~body).alias("t"), F.count_if(body).alias("b"), F.array_sort(F.collect_list(F.when(body, F.col("at")))).alias("positions"))
     return per.withColumn("bucket", bucket_of(F.col("term"), buckets)).select(*[x.split()[0] for x in POSTING.split(", ")])

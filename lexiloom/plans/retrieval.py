@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.functions.text import TERM, normal_form, terms
 from lexiloom.operators import bm25, evidence, phrases
-from lexiloom.sources.tables import sections, table
+from lexiloom.sources.tables import sections, table, texts
 
 ONE, TWO, FOUR = "with", "with from", "only with from this"
 PHRASES = ["of the", "with the"]
@@ -17,7 +17,7 @@ SCOPE = ("src1", "src2", "src3", "src5", "src8", "src13")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir, "documents")
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,7 @@ t AS (SELECT doc_id, ordinal, unnest(list_distinct(w)) AS term FROM w)
 SELECT term, count(*) AS sections, count(DISTINCT doc_id) AS documents FROM t GROUP BY term""")
 def term_statistics(spark, sf_dir):
     """Document frequencies of all terms, as the index keeps them."""
-    rows = _sections(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    rows = _sections(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(terms(F.col("text")))).alias("term")).where("term IS NOT NULL")
     per = rows.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # combined before the second shuffle
     return per.groupBy("term").agg(F.sum("n").alias("sections"), F.count("*").alias("documents"))
 
