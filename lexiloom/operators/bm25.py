@@ -16,6 +16,8 @@ from lexiloom.functions.text import phrase_count, terms
 #: Weights of title and text, and BM25's constants.
 TITLE, HEADING, TEXT = 5.0, 3.0, 1.0
 K1, B = 1.2, 0.75
+#: Parts of a section: the letter of their columns, and their words.
+PARTS = (("t", "tw"), ("h", "hw"), ("b", "w"))
 #: Digits of a score that ranks.
 DIGITS = 9
 
@@ -36,21 +38,24 @@ def occurrences(words: Column, alias: tuple[str, ...]) -> Column:
 
 
 def matrix(sections: DataFrame, wanted: list[Clause]) -> DataFrame:
-    """Per section: d (tokens), and for clause i its aliases' hits in the title (t{i}_{j}) and in the text (b{i}_{j}).
+    """Per section: d (tokens), and for clause i its aliases' hits in title, heading and text (t, h and b{i}_{j}).
+
+    Sections need no heading.
 
     The lambda binds the words, and the (outer) generator keeps filters from being pushed below it, so that each
     section is split into words once.
     """
 
     def counts(x: Column) -> Column:
-        cols = [occurrences(x[c], a).alias(f"{p}{i}_{j}") for i, clause in enumerate(wanted) for j, a in enumerate(clause) for p, c in (("t", "tw"), ("b", "w"))]
-        return F.struct((F.size(x["tw"]) + F.size(x["w"])).cast("long").alias("d"), *cols)
+        cols = [occurrences(x[c], a).alias(f"{p}{i}_{j}") for i, clause in enumerate(wanted) for j, a in enumerate(clause) for p, c in PARTS]
+        return F.struct((F.size(x["tw"]) + F.size(x["hw"]) + F.size(x["w"])).cast("long").alias("d"), *cols)
 
-    words = F.array(F.struct(terms(F.col("title")).alias("tw"), terms(F.col("text")).alias("w")))
+    heading = terms(F.coalesce("heading", F.lit(""))) if "heading" in sections.columns else F.array().cast("array<string>")
+    words = F.array(F.struct(terms(F.col("title")).alias("tw"), heading.alias("hw"), terms(F.col("text")).alias("w")))
     return sections.select("doc_id", "ordinal", F.explode_outer(F.transform(words, counts)).alias("m")).select("doc_id", "ordinal", "m.*")
 
 
-def _any(wanted: list[Clause], i: int, parts: str = "tb") -> Column:
+def _any(wanted: list[Clause], i: int, parts: str = "thb") -> Column:
     return reduce(lambda a, b: a | b, [F.col(f"{p}{i}_{j}") > 0 for j in range(len(wanted[i])) for p in parts])
 
 
@@ -72,22 +77,26 @@ class Scored:
         return sum((F.col(f"{what}{i}").cast("int") for i in range(self.n)), F.lit(0))
 
 
-def scored(sections: DataFrame, wanted: list[Clause], title: float = TITLE, text: float = TEXT) -> Scored:
+def scored(sections: DataFrame, wanted: list[Clause], title: float = TITLE, heading: float = HEADING, text: float = TEXT) -> Scored:
     """Scores by the whole collection's statistics; scope is for whoever filters the rows afterwards."""
     m = matrix(sections, wanted)
-    return scored_matrix(m, wanted, m.agg(F.count("*").alias("all_rows"), F.sum("d").alias("all_tokens"), *frequencies(wanted)), title, text)
+    return scored_matrix(m, wanted, m.agg(F.count("*").alias("all_rows"), F.sum("d").alias("all_tokens"), *frequencies(wanted)), title, heading, text)
 
 
 def frequencies(wanted: list[Clause]) -> list[Column]:
-    """Sections with each alias: n in title or text, m in the text."""
+    """Sections with each alias: n anywhere, m in the text."""
     phrases = [(i, j) for i, c in enumerate(wanted) for j in range(len(c))]
-    return [F.count_if((F.col(f"t{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0)).alias(f"n{i}_{j}") for i, j in phrases] + [F.count_if(F.col(f"b{i}_{j}") > 0).alias(f"m{i}_{j}") for i, j in phrases]
+    return [F.count_if(_in(i, j)).alias(f"n{i}_{j}") for i, j in phrases] + [F.count_if(F.col(f"b{i}_{j}") > 0).alias(f"m{i}_{j}") for i, j in phrases]
+
+
+def _in(i: int, j: int) -> Column:
+    return (F.col(f"t{i}_{j}") > 0) | (F.col(f"h{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0)
 
 
-def scored_matrix(m: DataFrame, wanted: list[Clause], stats: DataFrame, title: float = TITLE, text: float = TEXT) -> Scored:
+def scored_matrix(m: DataFrame, wanted: list[Clause], stats: DataFrame, title: float = TITLE, heading: float = HEADING, text: float = TEXT) -> Scored:
     """m: the rows of matrix(), at least those with a hit. stats: one row with all_rows, all_tokens and frequencies()."""
     phrases = [(i, j) for i, c in enumerate(wanted) for j in range(len(c))]
-    found = [(F.col(f"t{i}_{j}") > 0) | (F.col(f"b{i}_{j}") > 0) for i, j in phrases]
+    found = [_in(i, j) for i, j in phrases]
     hits = m.where(reduce(lambda a, b: a | b, found)).crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int, j: int, tf: Column, n: str) -> Column:
@@ -95,11 +104,11 @@ def scored_matrix(m: DataFrame, wanted: list[Clause], stats: DataFrame, title: f
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") * F.col("all_rows") / F.col("all_tokens")))
 
-    score = sum((part(i, j, F.col(f"t{i}_{j}") * title + F.col(f"b{i}_{j}") * text, f"n{i}_{j}") for i, j in phrases), F.lit(0.0))
+    score = sum((part(i, j, F.col(f"t{i}_{j}") * title + F.col(f"h{i}_{j}") * heading + F.col(f"b{i}_{j}") * text, f"n{i}_{j}") for i, j in phrases), F.lit(0.0))
     body = sum((part(i, j, F.col(f"b{i}_{j}") * 1.0, f"m{i}_{j}") for i, j in phrases), F.lit(0.0))
     rows = hits.select(
         "doc_id", "ordinal", F.round(-score, DIGITS).alias("score"), F.round(-body, DIGITS).alias("body_score"),
-        *[_any(wanted, i).alias(f"hit{i}") for i in range(len(wanted))], *[_any(wanted, i, "b").alias(f"body{i}") for i in range(len(wanted))],
+        *[_any(wanted, i).alias(f"hit{i}") for i in range(len(wanted))], *[_any(wanted, i, "hb").alias(f"body{i}") for i in range(len(wanted))],
     )
     return Scored(rows, wanted)
 

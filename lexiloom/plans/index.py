@@ -16,16 +16,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexiloom.functions.text import terms
+from lexiloom.functions.stemming import stemmed
+from lexiloom.functions.text import arabic_form, terms
 from lexiloom.operators import bm25
 from lexiloom.sources.tables import sections
 
 SCHEMA_VERSION = 1
-#: What the terms are; an index with another identity isn't read.
-IDENTITY = "words-1"
+#: What the terms are, by name; an index of another version isn't read. form: for queries with Arabic letters.
+ANALYZERS = {
+    "words": terms,
+    "porter": lambda t: stemmed(t),
+    "form": lambda t: stemmed(arabic_form(t)),
+}
+VERSION = "1"
 BUCKETS = 32
 
-POSTING = "term string, doc_id long, ordinal long, d long, t long, b long, positions array<int>, bucket int"
+POSTING = "term string, doc_id long, ordinal long, d long, t long, h long, b long, positions array<int>, bucket int"
 SIZES = "doc_id long, sections long, tokens long"
 
 
@@ -36,7 +42,7 @@ class IncompatibleIndex(ValueError):
 @dataclass
 class Manifest:
     schema_version: int = SCHEMA_VERSION
-    identity: str = IDENTITY
+    identity: str = f"words-{VERSION}"
     buckets: int = BUCKETS
     generation: int = 0
     rows: int = 0
@@ -56,7 +62,7 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest:
     if not fs.exists(at):
         raise IncompatibleIndex("no index")
     found = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
-    if (found.get("schema_version"), found.get("identity")) != (SCHEMA_VERSION, IDENTITY):
+    if found.get("schema_version") != SCHEMA_VERSION or found.get("identity") not in {f"{a}-{VERSION}" for a in ANALYZERS}:
         raise IncompatibleIndex(f"{found.get('schema_version')} {found.get('identity')}")
     return Manifest(**found)
 
@@ -73,15 +79,27 @@ def write_manifest(spark: SparkSession, path: str, m: Manifest) -> None:
         raise OSError("the manifest couldn't be replaced")
 
 
-def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The postings of documents: per term and section the hits in title and text, and the places in the text."""
-    rows = sections(docs).select("doc_id", "ordinal", terms(F.col("title")).alias("tw"), terms(F.col("text")).alias("w"))
-    rows = rows.withColumn("d", (F.size("tw") + F.size("w")).cast("long"))
+def _sections(docs: DataFrame) -> DataFrame:
+    """Sections as they are, or those of documents."""
+    rows = docs if "ordinal" in docs.columns else sections(docs)
+    return rows if "heading" in rows.columns else rows.withColumn("heading", F.lit(None).cast("string"))
+
+
+def _words(docs: DataFrame, analyzer: str) -> DataFrame:
+    own = ANALYZERS[analyzer]
+    rows = _sections(docs).select("doc_id", "ordinal", *[own(F.coalesce(c, F.lit(""))).alias(a) for c, a in (("title", "tw"), ("heading", "hw"), ("text", "w"))])
+    return rows.withColumn("d", (F.size("tw") + F.size("hw") + F.size("w")).cast("long"))
+
+
+def postings(docs: DataFrame, buckets: int = BUCKETS, analyzer: str = "words") -> DataFrame:
+    """The postings of documents or sections: per term the hits in title, heading and text, and the places in the text."""
+    rows = _words(docs, analyzer)
     title = F.transform("tw", lambda x: F.struct(x.alias("term"), F.lit(-1).alias("at")))
+    heading = F.transform("hw", lambda x: F.struct(x.alias("term"), F.lit(-2).alias("at")))
     text = F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    each = rows.select("doc_id", "ordinal", "d", F.explode_outer(F.concat(title, text)).alias("p")).where("p IS NOT NULL").select("doc_id", "ordinal", "d", "p.term", "p.at")
+    each = rows.select("doc_id", "ordinal", "d", F.explode_outer(F.concat(title, heading, text)).alias("p")).where("p IS NOT NULL").select("doc_id", "ordinal", "d", "p.term", "p.at")
     body = F.col("at") >= 0
-    per = each.groupBy("term", "doc_id", "ordinal", "d").agg(F.count_if(~body).alias("t"), F.count_if(body).alias("b"), F.array_sort(F.collect_list(F.when(body, F.col("at")))).alias("positions"))
+    per = each.groupBy("term", "doc_id", "ordinal", "d").agg(F.count_if(F.col("at") == -1).alias("t"), F.count_if(F.col("at") == -2).alias("h"), F.count_if(body).alias("b"), F.array_sort(F.collect_list(F.when(body, F.col("at")))).alias("positions"))
     return per.withColumn("bucket", bucket_of(F.col("term"), buckets)).select(*[x.split()[0] for x in POSTING.split(", ")])
 
 
@@ -95,9 +113,9 @@ class Index:
         self.m = read_manifest(spark, self.path)
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
+    def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS, analyzer: str = "words") -> Index:
         path = path.rstrip("/")
-        m = Manifest(buckets=buckets)
+        m = Manifest(buckets=buckets, identity=f"{analyzer}-{VERSION}")
         cls._segment(docs, path, m)
         write_manifest(docs.sparkSession, path, m)
         return cls(docs.sparkSession, path)
@@ -106,10 +124,11 @@ class Index:
     def _segment(docs: DataFrame, path: str, m: Manifest) -> None:
         name = f"segment-{m.generation}-{uuid.uuid4().hex[:8]}"
         spark = docs.sparkSession
-        rows = postings(docs, m.buckets)
+        analyzer = m.identity.rpartition("-")[0]
+        rows = postings(docs, m.buckets, analyzer)
         # a frequent term's postings spread over several files of its bucket
         rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id", "ordinal").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
-        own = sections(docs).select("doc_id", (F.size(terms(F.col("title"))) + F.size(terms(F.col("text")))).cast("long").alias("d"))
+        own = _words(docs, analyzer).select("doc_id", "d")
         own.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("d").alias("tokens")).write.parquet(f"{path}/{name}/sizes")
         total = spark.read.schema(SIZES).parquet(f"{path}/{name}/sizes").agg(F.coalesce(F.sum("sections"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         m.rows, m.tokens = m.rows + total[0], m.tokens + total[1]
@@ -164,23 +183,23 @@ class Index:
         at = self.spark.createDataFrame([(w,) for w in words], "term string").select(bucket_of(F.col("term"), self.m.buckets)).distinct().collect()
         return self._live("postings", POSTING).where(F.col("bucket").isin([r[0] for r in at]) & F.col("term").isin(words))
 
-    def scored(self, wanted: list[bm25.Clause], title: float = bm25.TITLE, text: float = bm25.TEXT) -> bm25.Scored:
+    def scored(self, wanted: list[bm25.Clause], title: float = bm25.TITLE, heading: float = bm25.HEADING, text: float = bm25.TEXT) -> bm25.Scored:
         """What bm25.scored() gives, from the postings of the query's words."""
         words = sorted({w for c in wanted for a in c for w in a})
         rows = self.postings(words)
-        own = [F.max(F.when(F.col("term") == w, F.struct("t", "b", "positions"))).alias(f"w{k}") for k, w in enumerate(words)]
+        own = [F.max(F.when(F.col("term") == w, F.struct("t", "h", "b", "positions"))).alias(f"w{k}") for k, w in enumerate(words)]
         per = rows.groupBy("doc_id", "ordinal").agg(F.max("d").alias("d"), *own)
         number = {w: k for k, w in enumerate(words)}
 
         def hits(alias: tuple[str, ...], part: str) -> Column:
             if len(alias) == 1:
                 return F.coalesce(F.col(f"w{number[alias[0]]}.{part}"), F.lit(0).cast("long"))
-            if part == "t":
-                return F.lit(0).cast("long")  # titles keep no places
+            if part != "b":
+                return F.lit(0).cast("long")  # titles and headings keep no places
             others = [F.col(f"w{number[w]}.positions") for w in alias[1:]]
             found = F.filter(F.col(f"w{number[alias[0]]}.positions"), lambda p: reduce(lambda x, y: x & y, [F.array_contains(o, p + k + 1) for k, o in enumerate(others)]))
             return F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).cast("long")
 
-        m = per.select("doc_id", "ordinal", "d", *[hits(a, p).alias(f"{p}{i}_{j}") for i, c in enumerate(wanted) for j, a in enumerate(c) for p in "tb"])
+        m = per.select("doc_id", "ordinal", "d", *[hits(a, p).alias(f"{p}{i}_{j}") for i, c in enumerate(wanted) for j, a in enumerate(c) for p in "thb"])
         stats = m.agg(F.lit(self.m.rows).cast("long").alias("all_rows"), F.lit(self.m.tokens).cast("long").alias("all_tokens"), *bm25.frequencies(wanted))
-        return bm25.scored_matrix(m, wanted, stats, title, text)
+        return bm25.scored_matrix(m, wanted, stats, title, heading, text)
