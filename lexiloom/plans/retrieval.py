@@ -291,7 +291,9 @@ def spelling_corrections(spark, sf_dir):
     return evidence.corrections(evidence.vocabulary(_docs(spark, sf_dir)), MISSPELT)
 
 
-@query()
+@query(f"""WITH {_VOCAB}, {SECTIONS}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text) || ' ' || lower(title), '{TERM}')) AS word FROM sec),
+c AS (SELECT term, documents FROM ({_NEAR}) WHERE levenshtein(term, '{MISSPELT}') = 1 ORDER BY documents DESC, term LIMIT 8)
+SELECT '{MISSPELT}' AS query, (SELECT term FROM c WHERE term IN (SELECT word FROM w) ORDER BY documents DESC, term LIMIT 1) AS suggestion""")
 def spelling_suggestion(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     found = evidence.suggestion(sections(docs), evidence.vocabulary(docs), [MISSPELT])

@@ -36,8 +36,8 @@ ORACLES["backfill_available_now"] = "SELECT doc_id, len(string_split(text, chr(1
 
 
 def event_windows(spark, sf_dir):
-    return windowed(table(spark, sf_dir, "events"), size="1 hour").select("start", "event_type", "n", F.round("total", 6).alias("total"))
+    return windowed(table(spark, sf_dir, "events"), size="1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 QUERIES["event_windows"] = event_windows
-ORACLES["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+ORACLES["event_windows"] = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
