@@ -97,8 +97,11 @@ def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, t: np.ndarray, min_ma
     return out
 
 
-def search(h: np.ndarray, cuts: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(row, item number, tokens of the item, tokens marked, tiles) for every row and item with shared seeds."""
+def search(h: np.ndarray, cuts: np.ndarray, items: Items, least: float = 0.0) -> list[tuple[int, int, int, int, int]]:
+    """(row, item number, tokens of the item, tokens marked, tiles) for every row and item with shared seeds.
+
+    Pairs whose seeds can't cover the share `least` of the item, even if no two overlapped, aren't tiled.
+    """
     out = []
     for n, (seed, owner, place, flags) in items.by_length.items():
         w = windows(h, n)
@@ -123,13 +126,16 @@ def search(h: np.ndarray, cuts: np.ndarray, items: Items) -> list[tuple[int, int
         for s, e in zip(begin.tolist(), np.append(begin[1:], len(row)).tolist(), strict=True):
             r, k = int(row[s]), int(who[s])
             item = items.tokens[k]
+            if least and len(np.unique(p[s:e])) * n < least * len(item):
+                continue
             tiles = tile(item, h[cuts[r] : cuts[r + 1]], p[s:e], at[s:e] - cuts[r], n)
             out.append((r, k, len(item), sum(x[2] for x in tiles), len(tiles)))
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, item_tokens, covered, tiles for every document and item with shared seeds."""
+def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS, least: float = 0.0) -> DataFrame:
+    """doc_id, item_id, item_tokens, covered, tiles for every document and item with shared seeds, or only where they can
+    cover the share `least` of the item."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_tokens long, covered long, tiles long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -141,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, b
             items = Items(*held.value, min_match)
             for batch in pieces(batches):
                 h, cuts = tokens(*text_bytes(batch.column(1)))
-                found = search(h, cuts, items)
+                found = search(h, cuts, items, least)
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 more = [pa.array([items.ids[x[1]] for x in found], pa.int64()), *[pa.array([x[i] for x in found], pa.int64()) for i in (2, 3, 4)]]
                 yield pa.RecordBatch.from_arrays([ids, *more], names=["doc_id", "item_id", "item_tokens", "covered", "tiles"])
@@ -171,7 +177,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_tokens, covered, tiles, coverage of the items that documents contain."""
     share = F.col("covered") / F.col("item_tokens")
-    return matches(docs, benchmark).withColumn("coverage", share).where(F.col("coverage") >= threshold)
+    return matches(docs, benchmark, least=threshold).withColumn("coverage", share).where(F.col("coverage") >= threshold)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
