@@ -54,6 +54,8 @@ BOILER_WORDS = frozenset(
     " navigation breadcrumb breadcrumbs sidebar sidebars aside footer foot header masthead topbar toolbar comment comments disqus reply replies respond share sharing social"
     " related recommended newsletter subscribe signup login popup modal overlay widget widgets pagination pager tagcloud copyright legal search skip rail teaser paywall".split()
 )
+#: Of these, the ones that name parts of an article inside one.
+OWN_WORDS = frozenset("header head masthead legal search text".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
@@ -67,20 +69,22 @@ class Block:
         self.path, self.text, self.links, self.role = path, text, links, role
 
 
-def element(name: str, attrs: str) -> tuple[str, int]:
-    """An element's part of a path, and its role."""
+def element(name: str, attrs: str, inside: bool = False) -> tuple[str, int]:
+    """An element's part of a path, and its role; inside: within an article, where a header is the article's own."""
     if not attrs:
-        return name, BOILER if name in BOILER_TAGS else CONTENT if name in CONTENT_TAGS else BOILER if name == "header" else NEUTRAL
+        return name, BOILER if name in BOILER_TAGS else CONTENT if name in CONTENT_TAGS else BOILER if name == "header" and not inside else NEUTRAL
     said = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(attrs)}
     marks = re.sub(r"\d+", "0", " ".join(f"{k}={' '.join(sorted(said[k].split()))}" for k in ("class", "id", "role") if said.get(k)))
     words = set(WORDS.findall(" ".join(said.values())))
+    if inside:
+        words -= OWN_WORDS
     if name in ("html", "body"):
         role = NEUTRAL
     elif name in BOILER_TAGS or words & BOILER_WORDS and name not in CONTENT_TAGS:
         role = BOILER
     elif name in CONTENT_TAGS or said.get("role") in ("main", "article"):
         role = CONTENT
-    elif name == "header":
+    elif name == "header" and not inside:
         role = BOILER
     elif name in ("div", "section", "td") and words & CONTENT_WORDS:
         role = CONTENT
@@ -164,10 +168,8 @@ def parse(html: str, opened: Counter | None = None) -> list[Block]:
                 pop_to("p")
             if name in CLOSES:
                 pop_to(CLOSES[name], SCOPES[name])
-            part, role = element(name, attrs)
             _, above, held = stack[-1]
-            if name == "header" and role == BOILER and held == CONTENT and "[" not in part:
-                role = NEUTRAL  # an article's own heading
+            part, role = element(name, attrs, held == CONTENT)
             role = BOILER if BOILER in (role, held) else max(role, held)
             path = f"{above}>{part}"
             if opened is not None:

@@ -408,7 +408,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row."""
+    """doc_id, n_tokens, n_known, base_score, score (log10) and perplexity of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # totals and the spread contexts only
 
     def run(batches):
@@ -418,7 +418,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def held_out(doc_id) -> F.Column:
@@ -430,5 +431,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out(F.col("doc_id"))).select("text"))
     return score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
     )

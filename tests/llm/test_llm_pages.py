@@ -11,6 +11,7 @@ CASES = [
     (page(NAV + "<div class=ad>Buy</div><article><h1>T &amp; U</h1><p>One  two<br>three</p><p></p><p><b>Four.<br><p>Fi&#118;e &lt;x&gt;</article>" + FOOT), "T & U\nOne two three\nFour.\nFive <x>"),
     (page(NAV + "<main><div class='cookie-notice'>Accept</div><p>Text</p><aside>Side</aside><form><p>Mail <input></p></form><section id='comments'><p>First!</p></section></main>"), "Text"),
     (page("<header>Site</header><article><header><h1>Head</h1></header><p>Body<script>var t='</p>';</script> on</p></article>"), "Head\nBody on"),
+    (page("<header>Site</header><article class=post><header class='entry-header'><h1>Own</h1></header><div class='share-bar'>Share</div><p>Text</p></article>"), "Own\nText"),
     (page("<article><p>cut off &am"), "cut off &am"),
     (page("<article><p>a &amp"), "a &"),
     (page("<article><p>a<p>b</div></article><p>after</p>"), "a\nb"),
