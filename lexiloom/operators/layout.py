@@ -103,3 +103,43 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("document_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_index", "line", "text"))).alias("own"), F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page"))
     text = dehyphenated(F.array_join(F.transform("own", lambda o: o["text"]), "\n"))
     return per.select("document_id", "paragraph", F.regexp_replace(text, "\n", " ").alias("text"), "first_page", "last_page")
+
+
+def compounds(sections: DataFrame) -> DataFrame:
+    """doc_id, word: distinct words with an inner hyphen, in lower case; evidence that a wrapped word keeps its hyphen."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}-])\p{L}+(?:-\p{L}+)+(?![\p{L}-])"), F.lit(0))
+    return sections.select("doc_id", F.explode_outer(found).alias("word")).where("word IS NOT NULL").distinct()
+
+
+def reference_lists(rows: DataFrame, least: int = 3) -> DataFrame:
+    """document_id, page_index of pages with numbered references: lines that begin with [n] or n., each one more than the last."""
+    n = F.regexp_extract("text", r"^\s*\[?([0-9]{1,3})[\].]\s+\S", 1)
+    own = rows.select("document_id", "page_index", "line", F.nullif(n, F.lit("")).cast("int").alias("n")).where("n IS NOT NULL")
+    w = W.partitionBy("document_id", "page_index").orderBy("line")
+    own = own.withColumn("next", F.lead("n").over(w))
+    per = own.groupBy("document_id", "page_index").agg(F.count("*").alias("lines"), F.bool_and(F.coalesce(F.col("next") == F.col("n") + 1, F.lit(True))).alias("sequential"))
+    return per.where((F.col("lines") >= least) & F.col("sequential")).select("document_id", "page_index")
+
+
+def index_entry(text: Column) -> Column:
+    """Whether a line is an entry of a subject index: words, then page numbers or ranges; or a reference to another entry."""
+    return text.rlike(r"^\s*\p{L}[^0-9.]{0,80}?,?\s+[0-9]{1,4}(?:[-–][0-9]{1,4})?(?:,\s*[0-9]{1,4}(?:[-–][0-9]{1,4})?)*\.?\s*$") | text.rlike(r"(?i)^\s*\p{L}.{0,80}[,.;]\s+see(?: also)?\s+\p{L}")
+
+
+def page_reference(text: Column) -> Column:
+    """The page number that a line of contents names, else null."""
+    return F.nullif(F.regexp_extract(text, r"(?:^|[\s.…])([0-9]{1,4})\s*$", 1), F.lit("")).cast("int")
+
+
+def document_title(metadata: Column, fallback: Column) -> Column:
+    return F.substring(F.coalesce(F.nullif(F.trim(metadata), F.lit("")), fallback), 1, 512)
+
+
+def fitted(width: Column, height: Column, most_width: int = 480, most_height: int = 720) -> Column:
+    """The scale at which a picture fits; never enlarged."""
+    return F.least(F.lit(1.0), F.lit(float(most_width)) / width, F.lit(float(most_height)) / height)
+
+
+def render_scale(width: Column, height: Column, pixels: float = 9e6, dpi: float = 300.0) -> Column:
+    """The scale at which a page is rendered for recognition."""
+    return F.least(F.lit(dpi / 72), F.sqrt(F.lit(pixels) / (width * height)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from lexiloom.functions import speech, stemming, text as T
-from lexiloom.operators import layout, maintenance, semantic, timing
-from lexiloom.sources import html
+from lexiloom.operators import alignment, layout, maintenance, semantic, timing
+from lexiloom.sources import html, importer
 from lexiloom.sources.files import paragraphs, text_as_html
 from lexiloom.sources.tables import sections, table, texts
 
@@ -96,6 +96,33 @@ def url_projection(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.coalesce(F.nullif(F.regexp_extract("url", "[?&]page=([0-9]{1,9})", 1), F.lit("")).cast("int"), F.lit(1)).alias("page"))
 
 
+# places
+
+@query(f"""WITH {SECTIONS}, c AS (SELECT doc_id, ordinal, (length(text) - length(replace(text, 'the', ''))) // 3 AS k FROM sec WHERE contains(text, 'the')),
+b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+w AS (SELECT DISTINCT doc_id, unnest([0, 3, 50])::BIGINT AS n FROM documents)
+SELECT b.doc_id, n, ordinal, (n - before)::BIGINT AS occurrence FROM b JOIN w USING (doc_id) WHERE n >= before AND n < before + k""")
+def find_index_to_section(spark, sf_dir):
+    """Which section holds the first, fourth and fifty-first match of a document."""
+    docs = _docs(spark, sf_dir)
+    counts = sections(docs).select("doc_id", "ordinal", T.phrase_count(F.col("text"), "the").alias("match_count"))
+    wanted = docs.select("doc_id").distinct().withColumn("n", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 3, 50)])))
+    return alignment.nth_match(counts, wanted)
+
+
+@query(f"""WITH {SECTIONS} SELECT doc_id, ordinal, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sec""")
+def segment_offsets(spark, sf_dir):
+    return alignment.segment_offsets(sections(_docs(spark, sf_dir))).select("doc_id", "ordinal", "start")
+
+
+@query()
+def import_outcomes(spark, sf_dir):
+    """Pages and documents as files of a folder, imported together; some are broken."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.lit("pages").alias("folder"), F.encode("html", "UTF-8").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 50 == 0, F.lit(".epub")).otherwise(F.lit(".txt"))).alias("name"), F.lit("texts").alias("folder"), F.encode("text", "UTF-8").alias("content"))
+    return importer.summary(importer.imported(pages.unionByName(docs)).outcomes)
+
+
 # running lines
 
 @query(f"""WITH {SECTIONS}, e AS (SELECT doc_id, title, text, ordinal, max(ordinal) OVER (PARTITION BY doc_id) AS last FROM sec),

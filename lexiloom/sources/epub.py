@@ -176,3 +176,49 @@ def epub_sections(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in cols], names=[c for c, _ in cols])
 
     return files.select(F.col("id").cast("string").alias("id"), "content").mapInArrow(run, _ROW)
+
+
+def rewritten(book: Book, chapter: int) -> str:
+    """A chapter's markup with links that stay in the book: anchors carry the chapter's number, links out of the book keep
+    only safe schemes, pictures of the book point to its assets, other ones go."""
+    from .html import Node, sanitised, tree
+
+    path = book.spine[chapter]
+    number = {p: i for i, p in enumerate(book.spine)}
+    pictures = {p for p, kind, _ in book.items.values() if kind.startswith("image/")}
+    root = tree(sanitised(book._read(path).decode("utf-8", "replace"))).root
+
+    def walk(node: Node) -> None:
+        for c in list(node.children):
+            if isinstance(c, str):
+                continue
+            if "id" in c.attrs:
+                c.attrs["id"] = f"c{chapter}-{c.attrs['id']}"
+            if c.name == "a" and "href" in c.attrs and ":" not in c.attrs["href"].split("#")[0]:
+                try:
+                    to, fragment = resolved(path, c.attrs["href"])
+                    c.attrs["href"] = f"#c{number[to]}" + (f"-{fragment}" if fragment else "")
+                except (BadBook, KeyError):
+                    del c.attrs["href"]
+            if c.name == "img":
+                try:
+                    to, _ = resolved(path, c.attrs.get("src", ""))
+                except BadBook:
+                    to = ""
+                if to in pictures:
+                    c.attrs["src"] = f"assets/{to}"
+                elif not c.attrs.get("src", "").startswith("data:"):
+                    node.children.remove(c)
+            walk(c)
+
+    def write(node) -> str:
+        from html import escape
+
+        if isinstance(node, str):
+            return escape(node, quote=False)
+        own = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
+        inner = "".join(write(c) for c in node.children)
+        return f"<{node.name}{own}>" if node.name in ("br", "hr", "img") else f"<{node.name}{own}>{inner}</{node.name}>"
+
+    walk(root)
+    return "".join(write(c) for c in root.children)
