@@ -2,8 +2,8 @@
 
 A set is a folder of shards; a hash's shard is its top bits. Each shard is written by one task under a name of its own
 attempt and then moved into place, so that a repeated or speculative task changes nothing. Workers map the files where the
-shared folder is a mounted file system; from other stores they fetch a shard into their temporary folder once, map that
-copy and unlink it at once.
+shared folder is a mounted file system; from other stores that Arrow reaches they fetch a shard into their temporary folder
+once, map that copy and unlink it at once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ def _local(uri: str) -> str | None:
     return at.path if at.scheme in ("", "file") else None
 
 
+def _arrow(uri: str):
+    """Arrow's file system for a URI, and the path in it."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def write_file(uri: str, data) -> None:
     """Write bytes under the name, all or nothing."""
     part = f"{uri}.{uuid.uuid4().hex}.part"
@@ -39,7 +44,7 @@ def write_file(uri: str, data) -> None:
             f.write(data)
         os.replace(_local(part), path)
         return
-    store, path = fs.FileSystem.from_uri(part)
+    store, path = _arrow(part)
     with store.open_output_stream(path) as f:
         f.write(data)
     store.move(path, path.removesuffix(part[len(uri) :]))
@@ -49,7 +54,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
     """The file's numbers, mapped."""
     if path := _local(uri):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _arrow(uri)
     with tempfile.NamedTemporaryFile() as copy:
         with store.open_input_stream(path) as f:
             while block := f.read(1 << 22):
