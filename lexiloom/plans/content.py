@@ -115,7 +115,9 @@ def segment_offsets(spark, sf_dir):
     return alignment.segment_offsets(sections(_docs(spark, sf_dir))).select("doc_id", "ordinal", "start")
 
 
-@query()
+@query("""WITH d AS (SELECT text, doc_id % 50 = 0 OR trim(text) = '' AS failed FROM documents)
+SELECT (SELECT count(*) FROM pages) + count(*) AS selected, (SELECT count(DISTINCT html) FROM pages) + count(DISTINCT text) FILTER (NOT failed) AS imported,
+  (SELECT count(*) - count(DISTINCT html) FROM pages) + count(*) FILTER (NOT failed) - count(DISTINCT text) FILTER (NOT failed) AS existing, count(*) FILTER (failed) AS failed FROM d""")
 def import_outcomes(spark, sf_dir):
     """Pages and documents as files of a folder, imported together; some are broken."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.lit("pages").alias("folder"), F.encode("html", "UTF-8").alias("content"))
