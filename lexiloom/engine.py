@@ -45,12 +45,26 @@ class Library:
         path = path.rstrip("/")
         Index.build(sections, f"{path}/main", analyzer="porter")
         Index.build(sections.where(sections["text"].rlike("[؀-ۿ]")), f"{path}/form", analyzer="form")
+        cls._vocabulary(sections, path)
         return cls(spark, sections, path)
 
+    @staticmethod
+    def _vocabulary(sections: DataFrame, path: str) -> None:
+        """Words by their first two letters, so that a word's candidates are one folder."""
+        words = evidence.vocabulary(sections.select("doc_id", F.col("title").alias("source"), "text")).select("doc_id", "term").distinct()
+        words.withColumn("p2", F.substring("term", 1, 2)).repartition("p2").write.mode("append").partitionBy("p2").parquet(f"{path}/vocabulary")
+
+    def _spelt(self, words: list[str]) -> str | None:
+        """A suggestion. Words of documents that were replaced stay in the vocabulary; what's suggested finds a document."""
+        vocab = self.spark.read.schema("doc_id long, term string, p2 string").parquet(f"{self.path}/vocabulary")
+        near = vocab.where(F.col("p2").isin([w[:2] for w in words]))
+        return evidence.suggestion(lambda w: evidence.together(self.index.scored(self._clauses(" ".join(w), []))), near, words)
+
     def add(self, sections: DataFrame) -> None:
         """Add or replace documents in the indexes. The caller's table of sections is replaced by its own means."""
         self.index.add(sections)
         self.form.add(sections.where(sections["text"].rlike("[؀-ۿ]")))
+        self._vocabulary(sections, self.path)
 
     def _clauses(self, text: str, found: list[str]) -> list[bm25.Clause]:
         """The query's terms and phrases as the index has them: ways to write them, each in stems."""
@@ -102,13 +116,11 @@ class Library:
             out = Result(shown, total[0], total[1])
             if total[0] and not normal:
                 own = bm25.Scored(s.rows.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi"), wanted)  # MOST rows at most
-                sizes = self.sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
+                sizes = self.sections.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("sections"))
                 out.passages, out.locations = evidence.passages(own), evidence.histogram(own, sizes)
                 out.coverage = evidence.coverage(own) if terms else None
             elif not total[0] and not found and mode == "all":
-                docs = self.sections.select("doc_id", F.col("title").alias("source"), "text")
-                plain = analysis.terms(q.unquoted)
-                out.suggestion = evidence.suggestion(self.sections, evidence.vocabulary(docs), plain)
+                out.suggestion = self._spelt(analysis.terms(q.unquoted))
             return out
         finally:
             rows.unpersist()

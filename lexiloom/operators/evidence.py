@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .bm25 import Scored, clauses, scored
@@ -52,7 +54,22 @@ def corrections(vocab: DataFrame, word: str, tried: int = TRIED) -> DataFrame:
     return rows.where(F.levenshtein("term", F.lit(word), 1) == 1).orderBy(F.desc("documents"), "term").limit(tried)
 
 
-def suggestion(sections: DataFrame, vocab: DataFrame, query: list[str]) -> str | None:
+def found_by_scan(sections: DataFrame) -> Callable[[list[str]], bool]:
+    """Whether some document has all of some words, without an index."""
+
+    def finds(words: list[str]) -> bool:
+        return together(scored(sections, clauses(" ".join(words))))
+
+    return finds
+
+
+def together(s: Scored) -> bool:
+    """Whether a document has all clauses, in whatever sections."""
+    per = s.rows.groupBy("doc_id").agg(*[F.bool_or(f"hit{i}").alias(f"h{i}") for i in range(s.n)])
+    return per.where(" AND ".join(f"h{i}" for i in range(s.n))).limit(1).count() > 0
+
+
+def suggestion(finds: Callable[[list[str]], bool], vocab: DataFrame, query: list[str]) -> str | None:
     """The query with one unknown word put right, if the result finds a document. Bounded: 4 words, TRIED corrections each."""
     if not 1 <= len(query) <= 4 or any(not w.isascii() or not w.isalpha() or w != w.lower() for w in query):
         return None
@@ -61,8 +78,6 @@ def suggestion(sections: DataFrame, vocab: DataFrame, query: list[str]) -> str |
             continue
         for r in corrections(vocab, word).collect():
             fixed = [*query[:k], r.term, *query[k + 1 :]]
-            s = scored(sections, clauses(" ".join(fixed)))
-            per = s.rows.groupBy("doc_id").agg(*[F.bool_or(f"hit{i}").alias(f"h{i}") for i in range(s.n)])
-            if per.where(" AND ".join(f"h{i}" for i in range(s.n))).limit(1).count():
+            if finds(fixed):
                 return " ".join(fixed)
     return None

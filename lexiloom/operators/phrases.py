@@ -10,7 +10,8 @@ from lexiloom.functions.text import normal_form, phrase_count
 
 
 def normalised(sections: DataFrame) -> DataFrame:
-    return sections.withColumn("norm", normal_form(F.col("text")))
+    """Sections with their normal form; the generator keeps filters on it from evaluating it once more."""
+    return sections.select("*", F.explode_outer(F.array(normal_form(F.col("text")))).alias("norm"))
 
 
 def verified(sections: DataFrame, phrases: list[str]) -> DataFrame:

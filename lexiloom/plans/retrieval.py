@@ -296,7 +296,7 @@ c AS (SELECT term, documents FROM ({_NEAR}) WHERE levenshtein(term, '{MISSPELT}'
 SELECT '{MISSPELT}' AS query, (SELECT term FROM c WHERE term IN (SELECT word FROM w) ORDER BY documents DESC, term LIMIT 1) AS suggestion""")
 def spelling_suggestion(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    found = evidence.suggestion(sections(docs), evidence.vocabulary(docs), [MISSPELT])
+    found = evidence.suggestion(evidence.found_by_scan(sections(docs)), evidence.vocabulary(docs), [MISSPELT])
     return spark.createDataFrame([(MISSPELT, found)], "query string, suggestion string")
 
 

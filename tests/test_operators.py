@@ -73,8 +73,8 @@ def test_phrases_are_literal_and_may_lie_apart(spark):
 def test_spelling(spark):
     s = spark.createDataFrame([(i, "t", 0, "retrieval engine") for i in range(3)] + [(9, "t", 0, "retrieving")], SECTIONS)
     vocab = evidence.vocabulary(s.select("doc_id", F.col("title").alias("source"), "text"))
-    assert evidence.suggestion(s, vocab, ["retrievak", "engine"]) == "retrieval engine"
-    assert evidence.suggestion(s, vocab, ["retrieval"]) is None and evidence.suggestion(s, vocab, ["Upper"]) is None
+    assert evidence.suggestion(evidence.found_by_scan(s), vocab, ["retrievak", "engine"]) == "retrieval engine"
+    assert evidence.suggestion(evidence.found_by_scan(s), vocab, ["retrieval"]) is None and evidence.suggestion(evidence.found_by_scan(s), vocab, ["Upper"]) is None
     assert [r.term for r in evidence.spelling_candidates(vocab, "retrievak").collect()] == ["retrieval", "retrieving"]
 
 
