@@ -197,3 +197,36 @@ def scoped(rows: DataFrame, include: DataFrame | None, exclude: DataFrame | None
     if include is not None:
         rows = rows.join(include.select(key), key, "left_semi")
     return rows if exclude is None else rows.join(exclude.select(key), key, "left_anti")
+
+
+def imported_folders(paths: DataFrame, folders: DataFrame, root: str) -> DataFrame:
+    """path, name, parent, depth of the folders that an import of files (folder: a relative path) makes below a fresh root.
+
+    The root's name gets ` (n)` if the top level has it already; folders deeper than MAX_DEPTH are refused, all together.
+    """
+    taken = {r.name.lower() for r in folders.where("parent_id IS NULL").select("name").collect()}  # the user's top level
+    name, n = checked_name(root), 1
+    while name.lower() in taken:
+        n += 1
+        name = f"{checked_name(root)} ({n})"
+    parts = F.filter(F.split("folder", "/"), lambda p: p != "")
+    deep = paths.where(F.size(parts) > MAX_DEPTH).limit(1).count()
+    if deep:
+        raise ValueError("folders too deep")
+    each = paths.select(F.explode_outer(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.slice(parts, 1, i))).alias("p")).distinct()
+    top = F.concat(F.array(F.lit(name)), F.col("p"))
+    return each.select(
+        F.array_join(top, "/").alias("path"), F.element_at(top, -1).alias("name"),
+        F.when(F.size("p") > 0, F.array_join(F.slice(top, 1, F.size("p")), "/")).alias("parent"), F.size("p").cast("long").alias("depth"),
+    )
+
+
+def folder_names(url: Column) -> Column:
+    """The decoded folders of a url's path."""
+    parts = F.filter(F.split(F.regexp_replace(url, r"^[a-z]+://[^/]*|[?#].*$", ""), "/"), lambda p: p != "")
+    return F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.coalesce(F.try_url_decode(p), p))
+
+
+def selection(current: Column, shown: Column, chosen: bool) -> Column:
+    """A bulk selection: all that's shown is added or taken away; what's hidden stays as it was."""
+    return F.array_union(current, shown) if chosen else F.array_except(current, shown)

@@ -56,3 +56,20 @@ def located_parts(parts: DataFrame, points: DataFrame, key: str, index: str, siz
     sizes = rows.select(key, index, F.col("start").alias("s"), F.col(size).alias("z"))
     out = found.join(sizes, [key, index], "left").withColumn("offset", (F.col("at") - F.col("s")).cast("long"))
     return out.where((F.col("offset") >= 0) & (F.col("offset") < F.col("z"))).select(key, F.col("at").cast("long").alias("at"), index, "offset")
+
+
+def narration_status(saved: DataFrame, chunks: DataFrame, cached: DataFrame) -> DataFrame:
+    """document_id, status, missing: whether a recording is whole.
+
+    saved: document_id, signature, wanted (the signature of today's text). chunks: document_id, index, hash. cached: hash.
+    """
+    own = chunks.join(cached.select(F.col("hash").alias("c")).distinct(), F.col("hash") == F.col("c"), "left")
+    per = own.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("c").isNull()).alias("missing"))
+    rows = saved.join(per, "document_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    status = F.when(F.col("signature") != F.col("wanted"), "text-changed").when(F.coalesce("chunks", F.lit(0)) == 0, "no-index").when(F.col("missing") > 0, "incomplete").otherwise("complete")
+    return rows.select("document_id", status.alias("status"), F.col("missing").cast("long").alias("missing"))
+
+
+def orphans(cached: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Cached pieces that no recording has."""
+    return cached.join(chunks.select("hash").distinct(), "hash", "left_anti")

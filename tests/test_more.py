@@ -96,3 +96,38 @@ def test_page_texts(spark):
     p = spark.createDataFrame([(960.0, 720.0), (100.0, 100.0)], "w double, h double")
     assert [r[0] for r in p.select(layout.fitted(F.col("w"), F.col("h"))).collect()] == [0.5, 1.0]
     assert p.select(layout.render_scale(F.col("w"), F.col("h"))).first()[0] == pytest.approx((9e6 / (960 * 720)) ** 0.5)
+
+
+def test_functions_have_sql_names(spark):
+    from lexiloom.functions.register import SCALARS, TABLES, register
+
+    register(spark)
+    assert spark.sql("SELECT tokenize('Running rivers') t, fnv1a('a') h, natural_key('File10') n").first().t == ["run", "river"]
+    assert [r.text for r in spark.sql("SELECT * FROM html_sections('<h1>A</h1><p>b')").collect()] == ["A", "b"]
+    assert spark.sql("SELECT * FROM speech_chunk_rows('One. Two.', 'playback')").count() == 1
+    assert [(r.start, r.end) for r in spark.sql("SELECT * FROM passages('a b')").collect()] == [(0, 3)]
+    assert len(SCALARS) == 10 and len(TABLES) == 3
+
+
+def test_imported_folders_and_selections(spark):
+    from lexiloom.operators import library
+
+    folders = spark.createDataFrame([(1, None, "Books", 0, 0)], "id long, parent_id long, name string, depth long, sort_order long")
+    paths = spark.createDataFrame([("",), ("a/b",), ("a",)], "folder string")
+    got = {(r.path, r.parent, r.depth) for r in library.imported_folders(paths, folders, "books").collect()}
+    assert got == {("books (2)", None, 0), ("books (2)/a", "books (2)", 1), ("books (2)/a/b", "books (2)/a", 2)}
+    with pytest.raises(ValueError):
+        library.imported_folders(spark.createDataFrame([("a/b/c/d/e",)], "folder string"), folders, "x")
+    df = spark.createDataFrame([("http://h/a%20b/c/d.html?x", [1, 2], [2, 3])], "u string, c array<int>, s array<int>")
+    r = df.select(library.folder_names(F.col("u")), library.selection(F.col("c"), F.col("s"), True), library.selection(F.col("c"), F.col("s"), False)).first()
+    assert tuple(r) == (["a b", "c"], [1, 2, 3], [1])
+
+
+def test_recordings(spark):
+    from lexiloom.operators import timing
+
+    saved = spark.createDataFrame([(1, "s", "s"), (2, "s", "s"), (3, "s", "t"), (4, "s", "s")], "document_id long, signature string, wanted string")
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "x"), (3, 0, "a")], "document_id long, index int, hash string")
+    cached = spark.createDataFrame([("a",), ("b",), ("old",)], "hash string")
+    assert {r.document_id: (r.status, r.missing) for r in timing.narration_status(saved, chunks, cached).collect()} == {1: ("complete", 0), 2: ("incomplete", 1), 3: ("text-changed", 0), 4: ("no-index", 0)}
+    assert [r.hash for r in timing.orphans(cached, chunks).collect()] == ["old"]
