@@ -31,6 +31,8 @@ from .common import documents, pieces
 
 #: Words that the cache holds before it's emptied.
 CACHE_WORDS = 200_000
+#: Characters of a long text that are encoded at once.
+PART = 1 << 20
 
 
 def default_path() -> str:
@@ -259,20 +261,45 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+_GAP = re.compile(r"[\x20\x09-\x0D]")
+
+
+def parts(text: str, limit: int = PART):
+    """A long text in parts, cut at ASCII white space, which no word or added token crosses."""
+    at = 0
+    while len(text) - at > limit:
+        gap = _GAP.search(text, at + limit)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def _told(c: Codec, text: str) -> tuple[int, str, str]:
+    """n_tokens and the digests of a long text, a part at a time."""
+    n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    for part in parts(text):
+        x = c.encode([part])[0]
+        if len(x):
+            decoded.update((" " if n else "").encode() + c.decode(x).encode())
+            ids.update(x.tobytes())
+            n += len(x)
+    return n, ids.hexdigest(), decoded.hexdigest()
+
+
 def _digests(path: str):
     def run(batches):
         c = codec(path)
         for batch in pieces(batches):
-            found = c.encode(batch.column(1).fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found], pa.string()),
-                    pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in found], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            texts = batch.column(1).fill_null("").to_pylist()
+            if len(texts) == 1 and len(texts[0]) > PART:
+                told = [_told(c, texts[0])]
+            else:
+                found = c.encode(texts)
+                told = [(len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(c.decode(x).encode()).hexdigest()) for x in found]
+            types = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([t[i] for t in told], types[i]) for i in range(3)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

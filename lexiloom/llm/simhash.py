@@ -18,6 +18,8 @@ an empty table gives an empty result; other columns are ignored here and passed
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +32,9 @@ RADIUS = 3
 BITS = 64
 #: Buckets of more rows are searched breadth-first, and of more than the second number through words between.
 SMALL, LARGE = 32, 4096
+#: Bytes of a long text that are split into words at once.
+PART = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -38,25 +43,32 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(BITS) if bin((1 + i % vectors) & v).count("1") % 2) for v in range(1, vectors + 1)]
 
 
-def fingerprint(text: bytes) -> int:
-    """The fingerprint of a text in UTF-8, as an unsigned number."""
-    words = text.lower().split()  # bytes: ASCII only, in both
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of every three words in a row."""
     if len(words) < 3:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-3])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, (ends[2:] - 1).tolist(), strict=True)]
-    total = np.zeros(BITS, np.int64)
-    array = np.array(hashes, np.uint64)
-    for at in range(0, len(array), 1 << 16):
-        part = array[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(array), bitorder="little").view(np.uint64)[0])
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-3])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[2:] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, part: int = PART) -> int:
+    """The fingerprint of a text in UTF-8, as an unsigned number. Long texts are split into words a part at a time."""
+    total, n, last, at = np.zeros(BITS, np.int64), 0, [], 0
+    while at < len(text):
+        to = len(text)
+        if to - at > part and (gap := _GAP.search(text, at + part)):
+            to = gap.start()
+        words = last + text[at:to].lower().split()  # bytes: ASCII only, in both
+        hashes = shingle_hashes(words)
+        for k in range(0, len(hashes), 1 << 16):
+            total += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n, last, at = n + len(hashes), words[-2:], to
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(last), 42) if last else 0
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches):

@@ -54,12 +54,21 @@ def spans(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets[1:])
 
 
+#: Bytes of spans that are hashed at once (one span may be longer).
+BLOCK = 4 << 20
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes."""
     if not len(starts):
         return np.zeros(0, U)
     lens = ends - starts
     upto = np.cumsum(lens)
+    if upto[-1] > BLOCK and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(upto, np.arange(BLOCK, upto[-1] + BLOCK, BLOCK), side="right"))
+        edges = np.unique(np.concatenate(([0], cuts, [len(starts)])))
+        if len(edges) > 2:
+            return np.concatenate([span_hashes(buf, starts[a:b], ends[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
     before = upto - lens
     off = np.arange(upto[-1]) - np.repeat(before, lens)
     of = buf[np.repeat(starts, lens) + off].astype(U) + U(1)

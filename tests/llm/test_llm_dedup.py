@@ -100,6 +100,14 @@ def test_simhash_against_all_pairs(spark):
     assert kept == set(roots)
 
 
+def test_fingerprints_of_long_texts_in_parts():
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3, 4, 50):
+        t = "".join(rng.choice(["Word ", "x\n", "  ", "\té "]) for _ in range(n)) + "end" * (n % 2)
+        for part in (1, 2, 7, 30, 1 << 20):
+            assert simhash.fingerprint(t.encode(), part) == fingerprint(t)
+
+
 def test_covering_masks_find_every_pair_within_the_radius():
     masks = simhash.masks(3)
     assert len(masks) == 15

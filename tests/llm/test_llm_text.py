@@ -50,6 +50,30 @@ def test_bpe_random_unicode():
         assert codec.decode(ids) == tokenizer.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_long_texts_in_parts(monkeypatch):
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    codec = bpe.Codec(bpe.default_path())
+    text = "Some words, é <|endoftext|> don't\t\n stop " * 20 + "z" * 300
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    for size in (1, 7, 50, 10_000):
+        assert "".join(bpe.parts(text, size)) == text
+        monkeypatch.setattr(bpe.parts, "__defaults__", (size,))
+        assert bpe._told(codec, text) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_hashes_in_blocks(monkeypatch):
+    from lexiloom.llm import texthash
+
+    rng = np.random.default_rng(1)
+    buf = rng.integers(97, 101, 5000).astype(np.uint8)
+    buf[rng.integers(0, 5000, 900)] = 32
+    starts, ends, _ = texthash.spans(buf, np.array([0, 5000]), texthash.WHITE)
+    whole = texthash.span_hashes(buf, starts, ends)
+    for size in (1, 3, 100, 4999):
+        monkeypatch.setattr(texthash, "BLOCK", size)
+        assert (texthash.span_hashes(buf, starts, ends) == whole).all()
+
+
 def test_bpe_empty_table_and_ids(spark):
     assert bpe.digests(frame(spark, [])).count() == 0
     row = bpe.encode(frame(spark, [(1, "Hello hello")])).first()
