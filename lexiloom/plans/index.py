@@ -30,6 +30,8 @@ ANALYZERS = {
 }
 VERSION = "1"
 BUCKETS = 32
+#: Postings that a file is to hold; an index of very many tokens has more buckets, too.
+FILE_POSTINGS = 1_000_000
 
 POSTING = "term string, doc_id long, ordinal long, d long, t long, h long, b long, positions array<int>, bucket int"
 SIZES = "doc_id long, sections long, tokens long"
@@ -111,6 +113,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.m = read_manifest(spark, self.path)
+        self._rows: tuple[int, DataFrame] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, buckets: int = BUCKETS, analyzer: str = "words") -> Index:
@@ -125,15 +128,21 @@ class Index:
         name = f"segment-{m.generation}-{uuid.uuid4().hex[:8]}"
         spark = docs.sparkSession
         analyzer = m.identity.rpartition("-")[0]
-        rows = postings(docs, m.buckets, analyzer)
-        # a frequent term's postings spread over several files of its bucket
-        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id", "ordinal").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
         own = _words(docs, analyzer).select("doc_id", "d")
         own.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("d").alias("tokens")).write.parquet(f"{path}/{name}/sizes")
         total = spark.read.schema(SIZES).parquet(f"{path}/{name}/sizes").agg(F.coalesce(F.sum("sections"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        Index._write(postings(docs, m.buckets, analyzer), f"{path}/{name}/postings", m.buckets, total[1])
         m.rows, m.tokens = m.rows + total[0], m.tokens + total[1]
         m.segments.append(name)
 
+    @staticmethod
+    def _write(rows: DataFrame, path: str, buckets: int, tokens: int) -> None:
+        """Postings by bucket, each bucket in as many files as its share of the tokens takes, by document: a frequent term's
+        postings are spread over all files of its bucket."""
+        files = max(1, -(-tokens // (buckets * FILE_POSTINGS)))
+        dealt = rows.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+        dealt.sortWithinPartitions("bucket", "term", "doc_id", "ordinal").write.partitionBy("bucket").parquet(path)
+
     def _tombs(self, segment: str) -> DataFrame | None:
         names = self.m.tombstones.get(segment, [])
         return self.spark.read.schema("doc_id long").parquet(*[f"{self.path}/{n}" for n in names]) if names else None
@@ -172,16 +181,28 @@ class Index:
     def compact(self) -> None:
         """All that lives as one segment."""
         name = f"segment-{self.m.generation + 1}-{uuid.uuid4().hex[:8]}"
-        self._live("postings", POSTING).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id", "ordinal").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
+        self._write(self._live("postings", POSTING), f"{self.path}/{name}/postings", self.m.buckets, self.m.tokens)
         self._live("sizes", SIZES).write.parquet(f"{self.path}/{name}/sizes")
         self.m.generation += 1
         self.m.segments, self.m.tombstones = [name], {}
         write_manifest(self.spark, self.path, self.m)
 
     def postings(self, words: list[str]) -> DataFrame:
-        """The live postings of some words; their buckets are worked out here, so that folders are pruned."""
-        at = self.spark.createDataFrame([(w,) for w in words], "term string").select(bucket_of(F.col("term"), self.m.buckets)).distinct().collect()
-        return self._live("postings", POSTING).where(F.col("bucket").isin([r[0] for r in at]) & F.col("term").isin(words))
+        """The live postings of some words; their buckets are worked out here, so that folders are pruned.
+
+        The relation is kept until the index changes, as listing a segment's folders costs more than reading a word.
+        """
+        if self._rows is None or self._rows[0] != self.m.generation:
+            self._rows = (self.m.generation, self._live("postings", POSTING))
+        return self._rows[1].where(F.col("bucket").isin(self._buckets(words)) & F.col("term").isin(words))
+
+    def _buckets(self, words: list[str]) -> list[int]:
+        try:
+            import xxhash
+        except ImportError:  # Spark's own function, at the price of a job
+            return [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(bucket_of(F.col("term"), self.m.buckets)).distinct().collect()]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) % self.m.buckets for w in words})
 
     def scored(self, wanted: list[bm25.Clause], title: float = bm25.TITLE, heading: float = bm25.HEADING, text: float = bm25.TEXT) -> bm25.Scored:
         """What bm25.scored() gives, from the postings of the query's words."""

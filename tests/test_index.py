@@ -56,6 +56,16 @@ def test_other_versions_are_refused(spark, tmp_path):
             index.Index(spark, path)
 
 
+def test_buckets_are_those_of_the_postings(spark, tmp_path, monkeypatch):
+    import sys
+
+    i = index.Index.build(docs(spark, ROWS), f"file://{tmp_path}/index", 7)
+    words = ["two", "one", "é", "日本", "x" * 100]
+    fast = i._buckets(words)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert sorted(i._buckets(words)) == fast
+
+
 def test_terms_prune_folders_and_row_groups(spark, tmp_path):
     i = index.Index.build(docs(spark, ROWS), f"file://{tmp_path}/index", 4)
     plan = i.postings(["two"])._jdf.queryExecution().toString()
