@@ -18,14 +18,19 @@ BROADCAST_ROWS = 1_000_000
 PIECE_BYTES = 2 << 20
 
 
+#: Folders of our own, by application, where spark.checkpoint.dir is unset.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+            atexit.register(shutil.rmtree, _own[app][7:], ignore_errors=True)
+        root = _own[app]
     return root.rstrip("/")
 
 
