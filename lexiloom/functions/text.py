@@ -121,12 +121,17 @@ SENTENCE = r"""[^.!?؟。！？।॥]+[.!?؟。！？।॥]*["'”’)\]]*|[.!
 CLAUSE = r"[^,;:،؛，；：、]+[,;:،؛，；：、]*|[,;:،؛，；：、]+"
 
 
+#: The same for Java, whose classes are slow beyond Latin-1: runs of Latin-1 characters are matched by a class of their own.
+_FAST_SENTENCE = r"""(?:[^.!?\x{100}-\x{10FFFF}]++|[^\x00-\x{FF}؟。！？।॥])++[.!?؟。！？।॥]*+["'”’)\]]*+|[.!?؟。！？।॥]++"""
+_FAST_CLAUSE = r"(?:[^,;:\x{100}-\x{10FFFF}]++|[^\x00-\x{FF}،؛，；：、])++[,;:،؛，；：、]*+|[,;:،؛，；：、]++"
+
+
 def sentences(t: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(_FAST_SENTENCE), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))), lambda s: s != "")
 
 
 def clauses(t: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(CLAUSE), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(_FAST_CLAUSE), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def speech_text(t: Column) -> Column:

@@ -30,6 +30,17 @@ def test_sentences_and_clauses(spark):
     assert values(spark, T.clauses, ["one, two; three：four"])[0] == ["one,", "two;", "three：", "four"]
 
 
+def test_sentences_are_those_of_the_plain_pattern(spark):
+    import re
+
+    rng = random.Random(8)
+    pool = "ab é.!?؟。！？।॥,;:،؛，；：、\"'”’)] \n日本🙂\xff\u0100"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(300)]
+    plain = lambda p, clean: [[s for s in (clean(m[0]) for m in re.finditer(p, t)) if s] for t in texts]
+    assert values(spark, T.sentences, texts) == plain(T.SENTENCE, lambda s: re.sub("[ \t\n\r]+", " ", s).strip(" "))
+    assert values(spark, T.clauses, texts) == plain(T.CLAUSE, lambda s: s.strip(" "))
+
+
 def test_arabic(spark):
     assert values(spark, T.arabic_form, ["الْكِتَاب", "محـــمد", "أحمد", "على"]) == ["الكتاب", "محمد", "احمد", "على"]
     assert values(spark, T.arabic_folded, ["على‏"]) == ["علي"]
