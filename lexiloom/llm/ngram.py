@@ -276,6 +276,8 @@ def _discounts(tally: dict) -> tuple[float, float, float]:
 
 def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, hot_count: int = HOT_COUNT) -> dict:
     """The model of a column of texts: where its arrays are, and its totals."""
+    if order < 2:
+        raise ValueError("an order of 2 or more")
     spark = texts.sparkSession
     texts = texts.select(F.col(texts.columns[0]).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
