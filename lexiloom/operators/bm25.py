@@ -46,11 +46,13 @@ def matrix(sections: DataFrame, wanted: list[Clause]) -> DataFrame:
     section is split into words once.
     """
 
+    headed = "heading" in sections.columns
+
     def counts(x: Column) -> Column:
-        cols = [occurrences(x[c], a).alias(f"{p}{i}_{j}") for i, clause in enumerate(wanted) for j, a in enumerate(clause) for p, c in PARTS]
+        cols = [(occurrences(x[c], a) if p != "h" or headed else F.lit(0).cast("long")).alias(f"{p}{i}_{j}") for i, clause in enumerate(wanted) for j, a in enumerate(clause) for p, c in PARTS]
         return F.struct((F.size(x["tw"]) + F.size(x["hw"]) + F.size(x["w"])).cast("long").alias("d"), *cols)
 
-    heading = terms(F.coalesce("heading", F.lit(""))) if "heading" in sections.columns else F.array().cast("array<string>")
+    heading = terms(F.coalesce("heading", F.lit(""))) if headed else F.array().cast("array<string>")
     words = F.array(F.struct(terms(F.col("title")).alias("tw"), heading.alias("hw"), terms(F.col("text")).alias("w")))
     return sections.select("doc_id", "ordinal", F.explode_outer(F.transform(words, counts)).alias("m")).select("doc_id", "ordinal", "m.*")
 
