@@ -89,7 +89,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _octets(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda p: p.rlike(r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
+    return F.forall(F.split(value, r"\."), lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
 
 
 def _base_ok(k: int, value: Column, digits: Column) -> Column:

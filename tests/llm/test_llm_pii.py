@@ -74,3 +74,14 @@ def test_em_finds_the_unreliable_labeler():
 
 def test_empty_table(spark):
     assert pii.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_addresses_with_parts_of_zeros(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "at 192.168.0.5, 8.8.0.8 or 00.000.0000.1", "0.0.0.256 and 000.1.2.0255", "0" * 4000 + ".1.2.3", "0" * 4000 + "999.1.2.3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digests(docs).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (got[i].n_ip, got[i].base_sha256) == (sum(x[0] == "ip" for x in want), hashlib.sha256(told.encode()).hexdigest()), t[:50]
+        assert set(told.split(",")) <= set(got[i].spans.split(","))
