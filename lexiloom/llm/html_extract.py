@@ -6,13 +6,13 @@ occurrences) per host and token, map-side first, so that tokens of equal vectors
 occur on at least half of the host's pages (LEAST_SHARE) are frequent; there can be no more of their tokens than two pages'
 worth, so a host's template is small however many pages it has. A frequent class is valid if it has two tokens or more, or
 is nested in a valid one; classes are nested by the paths of their tokens. Texts that belong to the template are fixed, and go;
-paths that hold other text are slots. Slots are judged by the roles of the elements around them (menus, headers,
-footers, asides, forms, notices, adverts, comments) and by the share of link text; where a host has no article or main
-element, the template node that holds most of the varying text is the article.
+paths that hold other text are slots. Roles of the elements around them (menus, headers, footers, asides, forms,
+notices, adverts, comments) and the share of link text rule slots out. Of the other slots' varying text, article elements
+hold at least half (CONTENT_SHARE), and then they are the article, or else it's the deepest template node that holds most of it.
 
 The article's blocks are read from each page with its host's template: character references are decoded, white space in a block becomes
-one space, blocks are trimmed and joined by one newline, empty ones are left out. Text within an article or main
-element is never taken for fixed, so pages that are copies of each other keep their texts.
+one space, blocks are trimmed and joined by one newline, empty ones are left out. Texts within article elements are fixed
+if nearly all pages with that element (ALWAYS) have them, so what some copies share stays; a page that would keep less than LEAST_LEFT of its article's characters is a copy of others, and keeps them all.
 
 Defined results: null html and pages without text give an empty text; a null url is a host of its own ("" with all such
 pages); a host's only page is judged by roles alone; unclosed, crossing and cut off elements are read as far as they go; repeated
@@ -34,6 +34,12 @@ from .common import BROADCAST_ROWS, pieces, read_table, written
 LEAST_SHARE = 0.5
 #: Link text's share from which a slot is a menu.
 LINK_SHARE = 0.6
+#: Share of the varying text from which article elements hold the article; with less they are teasers.
+CONTENT_SHARE = 0.5
+#: Share of an article element's pages from which a text within it is fixed.
+ALWAYS = 0.9
+#: Share of an article that isn't fixed, below which the page is a copy.
+LEAST_LEFT = 0.1
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -219,6 +225,16 @@ def _tokens(batches):
 _ARROW = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
+def article(path: str) -> str:
+    """The path of the outermost article element around a path that has one."""
+    parts = path.split(">")
+    for i, part in enumerate(parts):
+        name, _, marks = part.partition("[")
+        if name in CONTENT_TAGS or re.search(r"role=(?:main|article)\b", marks) or name in ("div", "section", "td") and set(WORDS.findall(marks)) & CONTENT_WORDS:
+            return ">".join(parts[: i + 1])
+    return path
+
+
 def template(tokens: list[dict], pages: int) -> tuple[list[int], str]:
     """Of a host's frequent tokens: the fixed texts' hashes, and the path of the article ("" where roles say it)."""
     by_class: dict[tuple, list[dict]] = {}
@@ -243,22 +259,29 @@ def template(tokens: list[dict], pages: int) -> tuple[list[int], str]:
             valid[key] = len(own) > 1 or any((up := (paths.get(t["path"]) if t["kind"] == TEXT else parent(t["path"]))) is not None and up != key and ok(up) for t in own)
         return valid[key]
 
-    fixed = [t["token"] for key, ts in by_class.items() for t in ts if t["kind"] == TEXT and t["role"] != CONTENT and pages > 2 and ok(key)]
+    def always(t: dict) -> bool:
+        around = paths.get(article(t["path"]))
+        return around is not None and t["pages"] > 2 and t["pages"] >= ALWAYS * around[1]
+
+    fixed = [t["token"] for key, ts in by_class.items() for t in ts if t["kind"] == TEXT and pages > 2 and ok(key) and (t["role"] != CONTENT or always(t))]
     constant: Counter = Counter()
     gone = set(fixed)
     for t in tokens:
         if t["kind"] == TEXT and t["token"] in gone:
             constant[t["path"]] += t["chars"]
-    if any(t["kind"] == ELEMENT and t["role"] == CONTENT and t["chars"] for t in tokens):
-        return fixed, ""
     # the deepest node that holds most of the varying text of slots that aren't menus
     mass: Counter = Counter()
+    total = content = 0
     for t in tokens:
-        if t["kind"] == ELEMENT and t["role"] == NEUTRAL and t["chars"] and t["links"] < LINK_SHARE * t["chars"]:
+        if t["kind"] == ELEMENT and t["chars"] and (t["role"] == CONTENT or t["role"] == NEUTRAL and t["links"] < LINK_SHARE * t["chars"]):
             varying, path = max(0, t["chars"] - constant[t["path"]]), t["path"].rpartition(">")[0]
+            total += varying
+            content += varying if t["role"] == CONTENT else 0
             while path:
                 mass[path] += varying
                 path = path.rpartition(">")[0]
+    if any(t["kind"] == ELEMENT and t["role"] == CONTENT and t["chars"] for t in tokens) and content >= CONTENT_SHARE * total:
+        return fixed, ""
     if not mass:
         return fixed, ""
     most = max(mass.values())
@@ -274,15 +297,13 @@ def _templates(batches):
 
 def main_text(html: str, fixed: set[int] = frozenset(), best: str = "") -> str:
     """The page's main text, given its host's template."""
-    blocks = parse(html)
-    good = [b for b in blocks if b.role == CONTENT]
-    if not good:
-        good = [b for b in blocks if b.role == NEUTRAL and b.links < LINK_SHARE * len(b.text)]
-        if best:
-            inside = [b for b in good if b.path == best or b.path.startswith(best + ">")]
-            good = inside or good
-        if fixed:
-            good = [b for b in good if _hash(b.path, b.text) not in fixed]
+    slots = [b for b in parse(html) if b.role == CONTENT or b.role == NEUTRAL and b.links < LINK_SHARE * len(b.text)]
+    inside = [b for b in slots if b.path == best or b.path.startswith(best + ">")] if best else []
+    good = inside or [b for b in slots if b.role == CONTENT] or slots
+    if fixed:
+        left = [b for b in good if _hash(b.path, b.text) not in fixed]
+        if left and sum(len(b.text) for b in left) >= LEAST_LEFT * sum(len(b.text) for b in good):
+            good = left
     return "\n".join(b.text for b in good)
 
 

@@ -80,3 +80,27 @@ def test_whole_table_against_regular_expressions(spark, sf_dir):
         b = r.html.find("</article>")
         parts = [re.sub(r"<[^<>]*>|<[a-z/][^<>]*$", " ", x) for x in re.split("</?(?:p|h1)>", r.html[a : b if b >= 0 else len(r.html)])]
         assert got[r.page_id] == "\n".join(x for x in (" ".join(unescape(p).split()) for p in parts) if x)
+
+
+def extracted(spark, bodies):
+    docs = spark.createDataFrame([(i, f"http://h.example/{i}", page(b)) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in H.extract(docs).orderBy("page_id").collect()]
+
+
+def test_lines_repeated_in_every_article_go(spark):
+    own = [f"Own text of page {i}, and some more of it." for i in range(6)]
+    bodies = [NAV + f"<article><h1>Title {i}</h1><p>Get our letter every week.</p><p>{t}</p><p>Thanks for reading.</p></article>" + FOOT for i, t in enumerate(own)]
+    assert extracted(spark, bodies) == [f"Title {i}\n{t}" for i, t in enumerate(own)]
+
+
+def test_copies_beside_other_pages_keep_their_text(spark):
+    copy = "<article><h1>Same</h1><p>" + "Everywhere the same. " * 5 + "</p><p>Seen {} times</p></article>"
+    got = extracted(spark, [copy.format(i) for i in range(5)] + [f"<article><h1>Other {i}</h1><p>Text {i}</p></article>" for i in range(3)])
+    assert got[:5] == ["Same\n" + "Everywhere the same. " * 4 + f"Everywhere the same.\nSeen {i} times" for i in range(5)]
+    assert got[5:] == [f"Other {i}\nText {i}" for i in range(3)]
+
+
+def test_a_teaser_article_is_not_the_text(spark):
+    own = [f"Long text number {i}. " * 10 for i in range(6)]
+    bodies = [f"<div class=col><h2>Title {i}</h2><p>{t}</p></div><article><p>Next: story {i}</p></article>" for i, t in enumerate(own)]
+    assert extracted(spark, bodies) == [f"Title {i}\n{t.strip()}" for i, t in enumerate(own)]
