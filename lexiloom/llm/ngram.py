@@ -10,7 +10,7 @@ frequent words (at most HOT_LIMIT of them) are spread over all shards, and those
 The discounts D1, D2, D3+ come from the counts of counts of each order (Chen and Goodman, 1999), 0.5, 1 and 1.5 where
 those are zero. Single words interpolate with 1 / (V + 1). What the model gathers grows with the distinct n-grams.
 
-ORDER is 2: with 3, the distinct trigrams of running text alone take more shared disk than the rest of the model.
+Counts take four bytes where they fit, and contexts that occurred once (most of them, from order 3) are hashes alone.
 
 Defined results: null and empty texts are one end token; an empty training set scores every token 1 / (V + 1) with
 V = 0, that is 0; rows without doc_id train like others (crc32 of the empty text); repeated rows count as often as they
@@ -30,7 +30,7 @@ from .common import documents, drop_path, pieces, shared_path, text_bytes, writt
 from .store import map_file, write_file
 from .texthash import LOWER, U, WHITE, chain, mix, span_hashes, spans
 
-ORDER = 2
+ORDER = 3
 #: Bytes of text per shard of the counts.
 SHARD_BYTES = 16 << 20
 #: A word is spread over the shards if it occurs so often, or so great a share's worth of times.
@@ -209,13 +209,20 @@ def _tallies(n: np.ndarray) -> dict:
     return {"a": int(low[1]), "b": int(low[2]), "c": int(low[3]), "d": int(low[4]), "e": int(n.sum())}
 
 
+def _write_counts(uri: str, n: np.ndarray) -> None:
+    if n.max(initial=0) < 1 << 32:
+        write_file(f"{uri}.n4", n.astype("<u4").tobytes())
+    else:
+        write_file(f"{uri}.n8", n.astype(U).tobytes())
+
+
 def _write_words(folder: str, name: str, hot_from: int):
     def run(batches):
         for shard, rows in _grouped(batches):
             parts = [unpack(r, 0) for r in rows]
             (words,), n = summed([np.concatenate([c[0] for c, _ in parts])], np.concatenate([x for _, x in parts]))
             write_file(f"{folder}/{name}-{shard}.u8", words.tobytes())
-            write_file(f"{folder}/{name}-{shard}.n8", n.astype(U).tobytes())
+            _write_counts(f"{folder}/{name}-{shard}", n)
             often = np.flatnonzero(n >= hot_from)
             yield _batch([{"kind": "tally", "shard": len(words), **_tallies(n)}, *[{"kind": "hot", "a": int(w), "b": int(k)} for w, k in zip(words[often].view(np.int64), n[often], strict=True)]])
 
@@ -234,13 +241,15 @@ def _write_grams(folder: str, level: int, bits: int, word_bits: int, hot: np.nda
                 order = part[np.argsort(key[part])]
                 write_file(f"{folder}/{name}{level}-{shard}.u8", key[order].tobytes())
                 if name == "more":
-                    write_file(f"{folder}/{name}{level}-{shard}.n8", n[order].astype(U).tobytes())
+                    _write_counts(f"{folder}/{name}{level}-{shard}", n[order])
             begin = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
             ctx = cols[0][begin]
             stats = np.stack([np.add.reduceat(x, begin) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))], axis=1)
             spread = np.isin(ctx, hot) if level == 2 else np.zeros(len(ctx), bool)
-            write_file(f"{folder}/ctx{level}-{shard}.u8", ctx[~spread].tobytes())
-            write_file(f"{folder}/ctx{level}-{shard}.n8", stats[~spread].astype(U).tobytes())
+            lone = stats[:, 0] == 1
+            write_file(f"{folder}/lone{level}-{shard}.u8", ctx[lone & ~spread].tobytes())
+            write_file(f"{folder}/ctx{level}-{shard}.u8", ctx[~lone & ~spread].tobytes())
+            _write_counts(f"{folder}/ctx{level}-{shard}", stats[~lone & ~spread])
             yield _batch([{"kind": "tally", **_tallies(n)}, *[{"kind": "hot", "a": int(c), "b": int(s[0]), "c": int(s[1]), "d": int(s[2]), "e": int(s[3])} for c, s in zip(ctx[spread].view(np.int64), stats[spread], strict=True)]])
             if level == 2:
                 cols, n = summed([cols[-1]], np.ones(len(n), np.int64))
@@ -349,7 +358,8 @@ class Scorer:
             at = np.minimum(np.searchsorted(keys, q[a:b]), len(keys) - 1)
             hit[a:b] = keys[at] == q[a:b]
             if values:
-                table = self.file(f"{name}-{shard[a]}.n8").reshape(-1, values)
+                table = self.file(f"{name}-{shard[a]}.n4", np.dtype("<u4"))
+                table = (table if len(table) else self.file(f"{name}-{shard[a]}.n8")).reshape(-1, values)
                 some = np.flatnonzero(hit[a:b])
                 got[a + some] = table[at[some]]
         back = np.empty(len(q), np.int64)
@@ -377,6 +387,10 @@ class Scorer:
         """p interpolated with the counts after the contexts."""
         uc, inverse = np.unique(ctx, return_inverse=True)
         seen, stats = self.find(f"ctx{level}", uc, self.top(uc), 4)
+        left = np.flatnonzero(~seen)
+        lone, _ = self.find(f"lone{level}", uc[left], self.top(uc[left]), None)
+        stats[left[lone]] = 1, 1, 0, 0
+        seen[left[lone]] = True
         if level == 2 and len(self.m["spread"][0]):
             known, sums = self.m["spread"]
             at = np.minimum(np.searchsorted(known, uc), len(known) - 1)

@@ -80,3 +80,24 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in ngram.score(docs, model).collect()) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
     assert ngram.score(docs.where("doc_id > 5"), model).count() == 0
+
+
+def test_query_looks_at_two_words_before(spark):
+    train = ["a b c", "d b e"] * 5
+    model = ngram.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b e")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ngram.score(docs, model).collect()}
+    for order in (2, 3):
+        want = [x[3] for x in brute(train, ["a b c", "a b e"], order)[1]]
+        assert (want[0] > want[1] + 0.01) == (order > 2)
+    assert [got[0], got[1]] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("most", [1, (1 << 32) - 1, 1 << 32])
+def test_counts_of_any_size(tmp_path, most):
+    ngram._write_counts(f"{tmp_path}/word-0", ngram.np.array([1, most]))
+    (tmp_path / "word-0.u8").write_bytes(ngram.np.array([3, 7], ngram.U).tobytes())
+    scorer = ngram.Scorer({"folder": str(tmp_path), "bits": 0})
+    q = ngram.np.array([7, 5, 3], ngram.U)
+    hit, n = scorer.find("word", q, scorer.top(q), 1)
+    assert hit.tolist() == [True, False, True] and n[:, 0].tolist() == [most, 0, 1]
