@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows up to which a side of a few small columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -66,10 +66,16 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among those of dropped (one column, any name); rows without doc_id stay."""
-    gone = dropped.toDF("__gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+def digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, text: Column | None = None) -> DataFrame:
+    """The rows of docs whose doc_id (null like any other) and digest of text aren't among those of dropped (two columns, any names)."""
+    gone = dropped.toDF("__id", "__gone").distinct()
+    own = docs.withColumn("__own", digest(F.col("text") if text is None else text))
+    return own.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__gone")), "left_anti").drop("__own")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, pieces, read_table, text_bytes, without_ids, written
+from .common import digest, documents, pieces, read_table, text_bytes, without_rows, written
 from .texthash import LOWER, PUNCT, chain, span_hashes, spans
 
 MIN_MATCH = 5
@@ -133,12 +133,12 @@ def search(h: np.ndarray, cuts: np.ndarray, items: Items, least: float = 0.0) ->
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS, least: float = 0.0) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS, least: float = 0.0, digests: bool = False) -> DataFrame:
     """doc_id, item_id, item_tokens, covered, tiles for every document and item with shared seeds, or only where they can
     cover the share `least` of the item."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, item_tokens long, covered long, tiles long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, item_id long, item_tokens long, covered long, tiles long" + ", digest binary" * digests
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[digest(F.col("text")).alias("digest")] * digests)
     out = None
     for block in blocks(benchmark, block_chars):
         held = spark.sparkContext.broadcast(block)
@@ -148,9 +148,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, b
             for batch in pieces(batches):
                 h, cuts = tokens(*text_bytes(batch.column(1)))
                 found = search(h, cuts, items, least)
-                ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+                at = pa.array([x[0] for x in found], pa.int64())
+                ids, own = batch.column(0).take(at), [c.take(at) for c in batch.columns[2:]]
                 more = [pa.array([items.ids[x[1]] for x in found], pa.int64()), *[pa.array([x[i] for x in found], pa.int64()) for i in (2, 3, 4)]]
-                yield pa.RecordBatch.from_arrays([ids, *more], names=["doc_id", "item_id", "item_tokens", "covered", "tiles"])
+                yield pa.RecordBatch.from_arrays([ids, *more, *own], names=["doc_id", "item_id", "item_tokens", "covered", "tiles", "digest"][: 5 + len(own)])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
@@ -174,16 +175,16 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, item_tokens, covered, tiles, coverage of the items that documents contain."""
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, digests: bool = False) -> DataFrame:
+    """doc_id, item_id, item_tokens, covered, tiles, coverage of the items that documents contain; digests: and digest."""
     share = F.col("covered") / F.col("item_tokens")
-    return matches(docs, benchmark, least=threshold).withColumn("coverage", share).where(F.col("coverage") >= threshold)
+    return matches(docs, benchmark, least=threshold, digests=digests).withColumn("coverage", share).where(F.col("coverage") >= threshold)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
-    found = written(leaks(docs, benchmark, threshold).select("doc_id").distinct(), "leaks")
-    return without_ids(docs, found)
+    found = written(leaks(docs, benchmark, threshold, True).select("doc_id", "digest").distinct(), "leaks")
+    return without_rows(docs, found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

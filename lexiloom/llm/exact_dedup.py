@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, small, without_ids, written
+from .common import documents, small, without_rows, written
 
 #: Entries of a bucket.
 CAPACITY = 50_000
@@ -96,7 +96,8 @@ def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     found = written(groups(docs, capacity), "groups")
-    out = without_ids(docs, found.where(~F.col("kept")).select("doc_id"))
+    gone = found.where(~F.col("kept")).select("doc_id", F.unhex(F.substring("text_sha256", 1, 32)))  # as digest() of the normalised text
+    out = without_rows(docs, gone, normalised(F.col("text")))
     kept = found.where("kept AND group_size > 1").groupBy("doc_id", "text_sha256").count()
     if kept.where("count > 1").limit(1).count():  # rows that repeat doc_id and text
         out = out.withColumn("__norm", normalised(F.col("text"))).dropDuplicates(["doc_id", "__norm"]).drop("__norm")

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, pieces, text_bytes, without_ids, written
+from .common import digest, documents, pieces, small, text_bytes, without_rows, written
 from .components import components
 
 RADIUS = 3
@@ -76,12 +76,13 @@ def _fingerprints(batches):
         buf, offsets = text_bytes(batch.column(1))
         raw = buf.tobytes()
         out = np.array([fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "digest"][: batch.num_columns])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """doc_id, fp (long) of every row; digests: and digest."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[digest(F.col("text")).alias("digest")] * digests)
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long" + ", digest binary" * digests)
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -196,23 +197,34 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(_links(radius), "u long, v long")
 
 
-def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per document: doc_id, fingerprint (hex), component_id (the least doc_id that links lead to)."""
-    fps = written(fingerprints(docs), "fingerprints")
-    none = 1 << 62  # from here on: classes without any id, so that ids are always less
-    classes = written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(none) + F.xxhash64("fp").bitwiseAND(F.lit(none - 1))).alias("rep")), "classes")
+#: From here on: components of classes without any id, so that ids are always less.
+NONE = 1 << 62
+
+
+def linked(docs: DataFrame, radius: int = RADIUS, digests: bool = False) -> DataFrame:
+    """The fingerprints with their component."""
+    fps = written(fingerprints(docs, digests), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NONE) + F.xxhash64("fp").bitwiseAND(F.lit(NONE - 1))).alias("rep")), "classes")
     roots = components(near_links(classes, radius))
     found = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(found, "fp").select(
+    return fps.join(found, "fp")
+
+
+def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per document: doc_id, fingerprint (hex), component_id (the least doc_id that links lead to)."""
+    return linked(docs, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") < none, F.col("component_id")).alias("component_id"),
+        F.when(F.col("component_id") < NONE, F.col("component_id")).alias("component_id"),
     )
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near duplicates, the one of the least doc_id, with all its columns; rows without id stay."""
-    found = near_components(docs, radius)
-    return without_ids(docs, found.where("doc_id != component_id").select("doc_id").distinct())
+    """One row of each group of near duplicates, the one of the least doc_id and digest, with all its columns; rows without id
+    only stay if no row of the group has one. Rows that repeat both doc_id and text stay together."""
+    found = written(linked(docs, radius, True).select(F.struct(F.col("doc_id").isNull(), "doc_id", "digest").alias("row"), "component_id"), "near")
+    least = found.groupBy("component_id").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").select("component_id", "kept")
+    gone = found.join(small(written(least, "least")), "component_id").where(~F.col("row").eqNullSafe(F.col("kept"))).select("row.doc_id", "row.digest")
+    return without_rows(docs, written(gone, "gone"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

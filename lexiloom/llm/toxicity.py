@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, pieces, read_table, text_bytes, without_ids, written
+from .common import digest, documents, pieces, read_table, text_bytes, without_rows, written
 from .texthash import LOWER, PUNCT, chain, span_hashes, spans
 
 #: Places of features, as a power of two.
@@ -146,8 +146,8 @@ def score_rows(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: fl
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, score of every row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], digests: bool = False) -> DataFrame:
+    """doc_id, score of every row; digests: and digest."""
     places, weights = model
     bias = float(weights[places == -1].sum())
     held = docs.sparkSession.sparkContext.broadcast((places[places >= 0].astype(np.int32), weights[places >= 0].astype(np.float32)))
@@ -158,16 +158,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         table[at] = w
         for batch in pieces(batches):
             p = score_rows(*text_bytes(batch.column(1)), table, bias)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.astype(np.float64))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.astype(np.float64)), *batch.columns[2:]], names=["doc_id", "score", "digest"][: batch.num_columns])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[digest(F.col("text")).alias("digest")] * digests)
+    return rows.mapInArrow(run, "doc_id long, score double" + ", digest binary" * digests)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    scored = written(score(docs, train(docs, labels)), "scores")
-    return without_ids(docs, scored.where(F.col("score") >= threshold).select("doc_id").distinct())
+    scored = written(score(docs, train(docs, labels), True), "scores")
+    return without_rows(docs, scored.where(F.col("score") >= threshold).select("doc_id", "digest"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
