@@ -116,18 +116,40 @@ def held_in(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
+def bounded(rows: list, limit: int) -> list:
+    """The rows (toxic, n_chars) that have so many characters together, in their order: each label's within its share of the rows, short ones
+    first, then what else fits. A label that nothing of fits has its shortest row."""
+    size = [r.n_chars or 0 for r in rows]
+    taken: set[int] = set()
+
+    def take(some: list[int], room: int) -> int:
+        for i in some:
+            if i not in taken and size[i] <= room:
+                taken.add(i)
+                room -= size[i]
+        return room
+
+    by_label: dict = {}
+    for i, r in enumerate(rows):
+        by_label.setdefault(r.toxic, []).append(i)
+    left = 0
+    for own in by_label.values():
+        short = [i for i in own if size[i] <= limit // 1000]
+        left += take(own, take(short, limit * len(own) // len(rows)))
+    take(sorted(range(len(rows)), key=lambda i: size[i] > limit // 1000), left)
+    for own in by_label.values():
+        if taken.isdisjoint(own):
+            taken.add(min(own, key=size.__getitem__))
+    return [rows[i] for i in sorted(taken)]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) of the non-zero weights. Labels of rows that are held out are never read."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & held_in(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sized = docs.select("doc_id", F.length("text").alias("n_chars")).join(known, "doc_id")
     picked = sized.select("doc_id", "toxic", "n_chars", F.xxhash64("doc_id").alias("at")).orderBy("at", "n_chars").limit(SAMPLE_ROWS).collect()
-    ids, chars = [], 0
-    for r in picked:  # SAMPLE_ROWS at most
-        chars += r.n_chars or 0
-        if chars > SAMPLE_CHARS and ids:
-            break
-        ids.append((r.doc_id, r.toxic, r["at"]))
+    ids = [(r.doc_id, r.toxic, r["at"]) for r in bounded(picked, SAMPLE_CHARS)]  # SAMPLE_ROWS at most
     if not ids:
         return fit([])
     chosen = spark.createDataFrame(list({i[0]: i for i in ids}.values()), "id long, toxic int, at long")

@@ -1,5 +1,6 @@
 """Filters decide by id and text: ids may repeat with other texts, or be missing."""
 
+from pyspark.sql import Row
 from test_llm_text import corpus
 
 from lexiloom.llm import decontaminate, exact_dedup, simhash, toxicity
@@ -47,3 +48,22 @@ def test_toxic(spark):
     got = left(toxicity.reject(frame(spark, [(r[0], r[1]) for r in rows] + more), marked))
     assert (900_001, good) in got and (None, good) in got
     assert (900_001, bad) not in got and (None, bad) not in got
+
+
+def test_very_long_texts_leave_the_sample_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100_000)
+    rows, labels = corpus(300, 7)
+    docs = frame(spark, rows + [(1000 + i, "w1 w2 " * 40_000) for i in range(60)])
+    marked = spark.createDataFrame(labels + [(1000 + i, 1, i % 2) for i in range(60)], "doc_id long, quality long, toxic int")
+    told = {i: t for i, _, t in labels}
+    scores = [r for r in toxicity.score(docs, toxicity.train(docs, marked)).collect() if r.doc_id < 1000]
+    assert sum((r.score >= 0.5) == told[r.doc_id] for r in scores) >= 0.97 * len(scores)
+
+
+def test_bounded_sample():
+    row = lambda toxic, n: Row(toxic=toxic, n_chars=n)
+    rows = [row(0, 900), row(1, 2000), row(0, None), row(1, 10), row(0, 200), row(1, 5000)]
+    assert toxicity.bounded(rows, 10_000) == rows
+    assert toxicity.bounded(rows, 1000) == [rows[2], rows[3], rows[4]]
+    assert toxicity.bounded([row(0, 5)] * 9 + [row(1, 70), row(1, 60)], 50) == [row(0, 5)] * 9 + [row(1, 60)]
+    assert toxicity.bounded([], 10) == []
