@@ -23,9 +23,16 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. Where neither is
+    set, a local session has a folder of its own; a cluster would lose files there, so that's an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_dir.get() if set_dir.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lexiloom-")

@@ -1,18 +1,19 @@
-"""Removal of repeated byte strings by prefix doubling over hashed ranks.
+"""Removal of repeated byte strings by distributed prefix doubling.
 
-A position's rank at a length is a hash of the bytes from there on; two positions have equal ranks if that many bytes are equal.
-Doubling goes from HALF = LENGTH / 2 bytes to LENGTH: the pair (rank at p, rank at p + HALF) is p's rank at the full
-length, and Spark groups the pairs. Positions drop out as soon as they're known to be unique, without ever being dealt out:
+A position's rank at a length names the bytes from there on: positions have equal ranks if that many bytes are equal. The first
+ranks are hashes of START = LENGTH / 8 bytes. Each round doubles the length: position p's new rank is the name of the pair
+(rank at p, rank at p + k), Spark groups and sorts the pairs, and positions of unique pairs drop out. Names are hashes
+instead of dense numbers, so that copies meet as one row a task and reranking needs no global order. Rounds, with LENGTH 400:
 
-1. Of each window of LENGTH bytes, one position (the leftmost least HALF-byte rank of those that fit in) is its anchor;
-   equal windows have equal anchors, so a window whose anchor's rank is unique is unique. About one position in a
-   hundred is an anchor. Anchors are counted by rank, and by rank together with the bytes of all their windows.
-2. Windows of anchors whose surroundings as a whole occur again are repeated; no position of them is ranked singly. Windows
-   of anchors whose rank occurs with other surroundings are doubled to LENGTH, and the pairs are counted.
-3. Every text is read once more: windows of repeated surroundings and windows with repeated pairs are removed.
+1. k = 50 and 2. k = 100, for anchors: of each window of LENGTH bytes one position, the leftmost with the least hash of
+   LENGTH / 2 bytes of those that fit in. Equal windows have equal anchors, so a window whose anchor dropped out is
+   unique. About one position in a hundred is an anchor. The second round also counts an anchor's surroundings, the bytes
+   of all its windows: where they occur again as a whole, so do all of the windows, and no position of them is ranked singly.
+3. k = 200, for all windows of the anchors whose rank occurs with different surroundings.
 
-What is counted is pre-aggregated per task, so that copies of a passage meet as one row a task. The sets of repeated
-ranks are sorted arrays in shared files, memory-mapped by the workers. Ranks are 64-bit hashes.
+Every text is then read once more, and windows of repeated surroundings or pairs are removed. What decides that is compared as
+128 bits of two independent hashes; the rounds before use 64, where equal hashes only mean that a position isn't dropped yet.
+The sets of ranks that stay are sorted arrays in shared files, memory-mapped by the workers.
 
 Defined results: null counts as empty; texts of fewer than LENGTH bytes lose nothing; overlapping occurrences in one text
 count, so a run of one byte longer than LENGTH loses all; repeated rows are different documents and so repeat each other;
@@ -37,20 +38,30 @@ PART = 4 << 20
 #: Bytes of short texts that are handled at once.
 PIECE = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
+#: Bases of the two hashes.
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _tables: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of each base and of its inverse."""
     if not _tables or len(_tables[0]) < n:
         size = max(n, 1 << 16)
         _tables.clear()
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            t = np.full(size, b, U)
-            t[0] = 1
-            _tables.append(np.cumprod(t, dtype=U))
-    return _tables[0][:n], _tables[1][:n]
+        for base in _BASES:
+            for b in (base, pow(base, -1, 1 << 64)):
+                t = np.full(size, b, U)
+                t[0] = 1
+                _tables.append(np.cumprod(t, dtype=U))
+    return [t[:n] for t in _tables]
+
+
+def lengths(length: int) -> list[int]:
+    """The lengths of the ranks, each half of the next one (rounded up)."""
+    out = [length]
+    while len(out) < 4 and out[0] > 1:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -67,17 +78,19 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Ranks:
-    """The texts laid end to end in buf: ranks at half length of all positions, and their anchors."""
+    """The texts laid end to end in buf: ranks of positions, and the windows' anchors."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-        self.length, self.half = length, length // 2
+        self.length, self.half, self.lengths = length, -(-length // 2), lengths(length)
         n = len(buf)
-        power, inverse = _powers(n + 1)
-        self.inverse = inverse
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum((buf + U(1)) * power[:n], out=self.sums[1:])
+        power, inverse, power2, inverse2 = _powers(n + 1)
+        self.inverses = inverse, inverse2
+        byte = buf + U(1)
+        self.sums = np.zeros((2, n + 1), U)
+        np.cumsum(byte * power[:n], out=self.sums[0, 1:])
+        np.cumsum(byte * power2[:n], out=self.sums[1, 1:])
         half = self.half
-        self.rank = mix((self.sums[half:] - self.sums[: n + 1 - half]) * inverse[: n + 1 - half]) if n >= half else np.zeros(0, U)
+        self.least = mix((self.sums[0, half:] - self.sums[0, : n + 1 - half]) * inverse[: n + 1 - half]) if n >= half else np.zeros(0, U)
         # windows that lie within a text
         sizes = np.diff(offsets)
         fit = np.maximum(sizes - length + 1, 0)
@@ -88,7 +101,7 @@ class Ranks:
     def _find(self) -> None:
         """anchor, first, last: windows from first to last have that anchor."""
         w = self.length - self.half + 1
-        least = sliding_min(self.rank, w)
+        least = sliding_min(self.least, w)
         if not len(self.lo):
             self.anchor = self.first = self.last = np.zeros(0, np.int64)
             return
@@ -108,21 +121,32 @@ class Ranks:
             anchor = np.empty(len(first), np.int64)
             for at in range(0, len(first), 4096):
                 rows = first[at : at + 4096]
-                anchor[at : at + 4096] = rows + self.rank[rows[:, None] + np.arange(w)].argmin(axis=1)
+                anchor[at : at + 4096] = rows + self.least[rows[:, None] + np.arange(w)].argmin(axis=1)
             found.append((anchor, first, np.minimum(last, anchor)))
             more = last > anchor  # the same rank again further right
             first, last = anchor[more] + 1, last[more]
         self.anchor, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True))
 
-    def classes(self) -> np.ndarray:
-        """A hash of each anchor with the bytes of all its windows."""
-        end = self.last + self.length
-        whole = (self.sums[end] - self.sums[self.first]) * self.inverse[self.first]
-        return chain(self.rank[self.anchor], mix(whole), ((end - self.first) << 20 | (self.anchor - self.first)).astype(U))
+    def hashes(self, begin: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+        """The k-th hash of the bytes from begin to end."""
+        return mix((self.sums[k, end] - self.sums[k, begin]) * self.inverses[k][begin])
+
+    def rank(self, at: np.ndarray, level: int, k: int = 0) -> np.ndarray:
+        """The positions' ranks at a level of the lengths: names of pairs of ranks at the level below."""
+        if not level:
+            return self.hashes(at, at + self.lengths[0], k)
+        offset = self.lengths[level] - self.lengths[level - 1]
+        return chain(self.rank(at, level - 1, k), self.rank(at + offset, level - 1, k))
 
-    def doubled(self, at: np.ndarray) -> np.ndarray:
-        """The ranks at full length."""
-        return chain(self.rank[at], self.rank[at + self.half])
+    def classes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that name these anchors with the bytes of all their windows."""
+        first, end = self.first[some], self.last[some] + self.length
+        shape = ((end - first) << 20 | (self.anchor[some] - first)).astype(U)
+        return tuple(chain(self.hashes(first, end, k), shape) for k in (0, 1))
+
+    def doubled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that name the pairs of ranks at the last offset."""
+        return tuple(self.rank(at, len(self.lengths) - 1, k) for k in (0, 1))
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of the chosen anchors, and the place of each one's anchor in chosen."""
@@ -144,64 +168,98 @@ def parts(batches, length: int):
             yield batch, part, np.array([0, len(part)]), k
 
 
-def _summed(h: list[np.ndarray], more: np.ndarray | None = None) -> tuple:
-    u, inverse = np.unique(h[-1], return_inverse=True)
-    count = np.bincount(inverse, weights=more, minlength=len(u)).astype(np.int64)
-    return u, count, inverse
+def _counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (the place of one of each, and which one each pair is) and how often they occur."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    begin = np.flatnonzero(new)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[begin], which, np.bincount(which, weights=weight, minlength=len(begin)).astype(np.int64)
+
+
+def _record(names: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=names.split())
+
+
+def _first(length: int):
+    """Round 1: the anchors' pairs."""
+
+    def run(batches):
+        for _, buf, offsets, _ in parts(batches, length):
+            r = Ranks(buf, offsets, length)
+            u, n = np.unique(r.rank(r.anchor, min(1, len(r.lengths) - 2)), return_counts=True)
+            yield _record("rank n", u, n)
+
+    return run
 
 
-def _anchors(length: int):
+def _left(r: Ranks, ranks: Sets) -> np.ndarray:
+    """The anchors that round 1 left."""
+    return np.flatnonzero(ranks.has(r.rank(r.anchor, min(1, len(r.lengths) - 2))))
+
+
+def _second(length: int, first: tuple):
+    """Round 2: the pairs of the anchors that are left, with their surroundings."""
+
     def run(batches):
+        ranks = Sets(*first)
         for _, buf, offsets, _ in parts(batches, length):
             r = Ranks(buf, offsets, length)
-            ids, at, count = np.unique(r.classes(), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(r.rank[r.anchor[at]].view(np.int64)), pa.array(ids.view(np.int64)), pa.array(count)], names=["rank", "class", "n"])
+            some = _left(r, ranks)
+            c1, c2 = r.classes(some)
+            at, _, n = _counted(c1, c2)
+            yield _record("rank c1 c2 n", r.rank(r.anchor[some[at]], len(r.lengths) - 2), c1[at], c2[at], n)
 
     return run
 
 
-def _pairs(length: int, again: tuple, whole: tuple):
+def _third(length: int, again: tuple, whole: tuple):
+    """Round 3: the pairs of all windows of the anchors that are left."""
+
     def run(batches):
         ranks, classes = Sets(*again), Sets(*whole)
         for _, buf, offsets, _ in parts(batches, length):
             r = Ranks(buf, offsets, length)
-            chosen = np.flatnonzero(ranks.has(r.rank[r.anchor]))
-            ids = r.classes()[chosen]
-            full = classes.has(ids)
+            chosen = np.flatnonzero(ranks.has(r.rank(r.anchor, len(r.lengths) - 2)))
+            c1, c2 = r.classes(chosen)
+            full = classes.has(c1, c2)
             # surroundings that occur again are ranked once a piece, and count as two
-            _, at = np.unique(ids, return_index=True)
-            single = np.zeros(len(ids), bool)
+            at, _, _ = _counted(c1, c2)
+            single = np.zeros(len(c1), bool)
             single[at] = True
             take = ~full | single
             chosen, full = chosen[take], full[take]
             for k in range(0, len(chosen), 8192):
                 p, of = r.windows(chosen[k : k + 8192])
-                h, inverse = np.unique(r.doubled(p), return_inverse=True)
-                n = np.bincount(inverse, weights=full[k : k + 8192][of] + 1.0, minlength=len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["pair", "n"])
+                h1, h2 = r.doubled(p)
+                at, _, n = _counted(h1, h2, full[k : k + 8192][of] + 1.0)
+                yield _record("p1 p2 n", h1[at], h2[at], n)
 
     return run
 
 
-def _covered(r: Ranks, n: int, ranks: Sets, classes: Sets, doubles: Sets) -> np.ndarray:
+def _covered(r: Ranks, n: int, first: Sets, ranks: Sets, classes: Sets, doubles: Sets) -> np.ndarray:
     """For each byte: how many repeated windows begin there, less those that ended."""
     change = np.zeros(n + 1, np.int32)
-    full = classes.has(r.classes())
-    np.add.at(change, r.first[full], 1)
-    np.add.at(change, r.last[full] + r.length, -1)
-    rest = np.flatnonzero(~full)
-    rest = rest[ranks.has(r.rank[r.anchor[rest]])]
+    some = _left(r, first)
+    full = classes.has(*r.classes(some))
+    np.add.at(change, r.first[some[full]], 1)
+    np.add.at(change, r.last[some[full]] + r.length, -1)
+    rest = some[~full]
+    rest = rest[ranks.has(r.rank(r.anchor[rest], len(r.lengths) - 2))]
     for k in range(0, len(rest), 8192):
         p, _ = r.windows(rest[k : k + 8192])
-        p = p[doubles.has(r.doubled(p))]
+        p = p[doubles.has(*r.doubled(p))]
         np.add.at(change, p, 1)
         np.add.at(change, p + r.length, -1)
     return change
 
 
-def _removal(length: int, again: tuple, whole: tuple, twice: tuple, texts: bool):
+def _removal(length: int, found: tuple[tuple, ...], texts: bool):
     def run(batches):
-        sets = Sets(*again), Sets(*whole), Sets(*twice)
+        sets = [Sets(*x) for x in found]
         for batch in pieces(batches, limit=PIECE):
             buf, offsets = text_bytes(batch.column(1))
             change = np.zeros(len(buf) + 1, np.int32)
@@ -228,15 +286,22 @@ def _removal(length: int, again: tuple, whole: tuple, twice: tuple, texts: bool)
 def removed(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary, with texts) or kept_sha256 of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # an anchor's rank and its class, with how often the class occurs
-    seen = written(rows.mapInArrow(_anchors(length), "rank long, class long, n long").groupBy("rank", "class").agg(F.sum("n").alias("n")), "anchors")
-    again = write_set(seen.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1"), "rank", "ranks")
-    whole = write_set(seen.where("n > 1").select("class").distinct(), "class", "classes")
-    drop_path(docs.sparkSession, seen._lexiloom_path)
-    pairs = rows.mapInArrow(_pairs(length, again, whole), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = write_set(written(pairs.select("pair"), "pairs"), "pair", "doubles")
+    spark = docs.sparkSession
+    pairs = rows.mapInArrow(_first(length), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1")
+    pairs = written(pairs.select("rank"), "pairs")
+    first = write_set(pairs, ["rank"], "round1")
+    drop_path(spark, pairs._lexiloom_path)
+    # an anchor's rank and its surroundings, with how often these occur
+    seen = written(rows.mapInArrow(_second(length, first), "rank long, c1 long, c2 long, n long").groupBy("rank", "c1", "c2").agg(F.sum("n").alias("n")), "anchors")
+    again = write_set(seen.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1"), ["rank"], "round2")
+    whole = write_set(seen.where("n > 1").select("c1", "c2").distinct(), ["c1", "c2"], "surroundings")
+    drop_path(spark, seen._lexiloom_path)
+    pairs = rows.mapInArrow(_third(length, again, whole), "p1 long, p2 long, n long").groupBy("p1", "p2").agg(F.sum("n").alias("n")).where("n > 1")
+    pairs = written(pairs.select("p1", "p2"), "pairs")
+    twice = write_set(pairs, ["p1", "p2"], "round3")
+    drop_path(spark, pairs._lexiloom_path)
     last = "kept binary" if texts else "kept_sha256 string"
-    return rows.mapInArrow(_removal(length, again, whole, twice, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return rows.mapInArrow(_removal(length, (first, again, whole, twice), texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,11 +63,7 @@ def test_long_texts_in_parts(spark, monkeypatch):
     import pyarrow as pa
 
     # the functions that run on the workers, in this process
-    counts = {}
     batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([data[0][1]])], names=["doc_id", "text"])
-    for out in suffix_dedup._anchors(16)([batch]):
-        for r, c, n in zip(*[out.column(i).to_pylist() for i in range(3)]):
-            counts[(r, c)] = counts.get((r, c), 0) + n
     windows = set()
     for _, buf, offsets, k in suffix_dedup.parts([batch], 16):
         r = suffix_dedup.Ranks(buf, offsets, 16)
@@ -78,6 +74,52 @@ def test_long_texts_in_parts(spark, monkeypatch):
     assert windows == set(range(len(data[0][1]) - 15))
 
 
+def test_lengths_and_ranks():
+    import numpy as np
+
+    assert suffix_dedup.lengths(400) == [50, 100, 200, 400]
+    assert suffix_dedup.lengths(7) == [1, 2, 4, 7]
+    rng = random.Random(8)
+    for length in (7, 16, 40):
+        data = "".join(rng.choice("ab") for _ in range(3000)).encode()
+        r = suffix_dedup.Ranks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), length)
+        for level, size in enumerate(r.lengths):
+            at = np.arange(len(data) - size + 1)
+            for k in (0, 1):
+                assert len(set(r.rank(at, level, k).tolist())) == len({data[p : p + size] for p in at.tolist()})
+
+
+def test_a_missing_or_short_shard_fails(spark, monkeypatch):
+    import os
+
+    import numpy as np
+    import pytest
+    from lexiloom.llm import store
+
+    monkeypatch.setattr(store, "SHARD_ROWS", 100)
+    rows = [(int(x), int(x) % 7) for x in np.random.default_rng(1).integers(-(1 << 63), 1 << 63 - 1, 1000)]
+    folder, bits = store.write_set(spark.createDataFrame(rows, "a long, b long"), ["a", "b"], "pairs")
+    a, b = (np.array(x, np.int64).view(np.uint64) for x in zip(*rows, strict=True))
+    assert bits and store.Sets(folder, bits).has(a, b).all() and not store.Sets(folder, bits).has(a, b + np.uint64(1)).any()
+    path = f"{folder.removeprefix('file://')}/3.u8"
+    whole = open(path, "rb").read()
+    with open(path, "wb") as f:
+        f.write(whole[:-8])
+    with pytest.raises(ValueError):
+        store.Sets(folder, bits).has(a, b)
+    os.remove(path)
+    with pytest.raises(FileNotFoundError):
+        store.Sets(folder, bits).has(a, b)
+
+
+def test_pairs_that_share_their_first_number(spark):
+    import numpy as np
+    from lexiloom.llm import store
+
+    found = store.Sets(*store.write_set(spark.createDataFrame([(5, k) for k in range(0, 20, 2)] + [(9, 1)], "a long, b long"), ["a", "b"], "pairs"))
+    assert found.has(np.full(20, 5, np.uint64), np.arange(20).astype(np.uint64)).tolist() == [k % 2 == 0 for k in range(20)]
+
+
 def test_empty_table_and_digest(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], SCHEMA)).count() == 0
     row = suffix_dedup.removed(spark.createDataFrame([(1, "abc", "")], SCHEMA)).first()
