@@ -2,7 +2,7 @@
 
 A position's rank at a length names the bytes from there on: positions have equal ranks if that many bytes are equal. The first
 ranks are hashes of START = LENGTH / 8 bytes. Each round doubles the length: position p's new rank is the name of the pair
-(rank at p, rank at p + k), Spark groups and sorts the pairs, and positions of unique pairs drop out. Names are hashes
+(rank at p, rank at p + k), Spark groups and sorts the pairs, and positions of unique pairs drop out. Names are hashes of the bytes
 instead of dense numbers, so that copies meet as one row a task and reranking needs no global order. Rounds, with LENGTH 400:
 
 1. k = 50 and 2. k = 100, for anchors: of each window of LENGTH bytes one position, the leftmost with the least hash of
@@ -132,11 +132,13 @@ class Ranks:
         return mix((self.sums[k, end] - self.sums[k, begin]) * self.inverses[k][begin])
 
     def rank(self, at: np.ndarray, level: int, k: int = 0) -> np.ndarray:
-        """The positions' ranks at a level of the lengths: names of pairs of ranks at the level below."""
+        """The positions' ranks at a level of the lengths: names of the pairs of ranks at the level below, these being hashes
+        of their bytes."""
         if not level:
             return self.hashes(at, at + self.lengths[0], k)
-        offset = self.lengths[level] - self.lengths[level - 1]
-        return chain(self.rank(at, level - 1, k), self.rank(at + offset, level - 1, k))
+        below = self.lengths[level - 1]
+        second = at + self.lengths[level] - below
+        return chain(self.hashes(at, at + below, k), self.hashes(second, second + below, k))
 
     def classes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that name these anchors with the bytes of all their windows."""
