@@ -36,7 +36,7 @@ LENGTH = 400
 #: Bytes of a text that are handled at once, besides an overlap.
 PART = 4 << 20
 #: Bytes of short texts that are handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 #: Bases of the two hashes.
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
