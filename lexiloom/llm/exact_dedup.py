@@ -2,10 +2,15 @@
 
 Every text is normalised (runs of [\\x20\\x09-\\x0D] become one space; null counts as empty) and gets a 64-bit key.
 The index holds one entry per distinct key and digest, pre-aggregated, so a text with a billion copies is one entry.
-Its directory starts with one bucket and doubles: a bucket of more than `capacity` entries splits on the next bit of the
-key until none is overfull. Buckets are key ranges; the index file is range-partitioned by key, so that each owner task
-holds whole buckets. Keys with more than one row form chains, and their texts are compared byte by byte by grouping
-on the normalised text itself, combined map-side first. Texts of unique keys are never shuffled.
+Its directory starts with one bucket and doubles: a bucket of more than `capacity` keys splits on the next bit of the
+key until none is overfull. Every key is placed by the directory, and everything after that happens in its bucket:
+
+1. An owner task has whole buckets of the index, and so whole ranges of keys. It chains the entries of equal keys; chains of more
+   than one row are written, by bucket.
+2. The directory places the texts of chained keys in their buckets. Equal bytes are combined map-side, so that a bucket gets a text
+   once a task, and its owner compares the texts of a chain byte by byte, and names the row that stays. Texts of other keys
+   are never shuffled.
+3. Rows find their bucket by the directory, and what their chain decided in it.
 
 Defined results: null text = empty text, and all empty texts are copies of each other; rows without doc_id take part in
 groups, but only stay if no row of the group has an id; rows that repeat both doc_id and text are all marked kept in the
@@ -17,11 +22,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import documents, small, without_rows, written
 
-#: Entries of a bucket.
+#: Keys of a bucket.
 CAPACITY = 50_000
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,6 +36,10 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def key_of(norm) -> Column:
+    return F.xxhash64(norm)
+
+
 def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The directory's buckets: depth (bits), prefix (the bits), entries. index has a column __key."""
     keys = index.select("__key").distinct()
@@ -56,35 +65,45 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+def placed(df: DataFrame, buckets: DataFrame) -> DataFrame:
+    """df with the bucket (depth and prefix) that the directory has for its __key: the one whose prefix the key has."""
+    depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # 64 at most
+    if not depths:
+        return df.withColumns({"depth": F.lit(0), "prefix": F.lit(0).cast("long")}).limit(0)
+    at = df.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])) if len(depths) > 1 else F.lit(depths[0]))
+    at = at.withColumn("prefix", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftrightunsigned(__key, 64 - depth) END"))
+    own = buckets.select(F.col("depth").alias("__depth"), F.col("prefix").alias("__prefix"))
+    return at.join(small(own), (F.col("depth") == F.col("__depth")) & (F.col("prefix") == F.col("__prefix"))).drop("__depth", "__prefix")
+
+
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, index, buckets): rows has doc_id, __key and __sha per document; index one entry per key and digest."""
+    """(rows, buckets, chains): rows has doc_id, __key and __sha per document; buckets is the directory; chains has the entries
+    of keys with more than one row, with their bucket."""
     norm = normalised(F.col("text"))
-    rows = written(docs.select("doc_id", F.xxhash64(norm).alias("__key"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("__sha")), "rows")
-    entries = written(rows.groupBy("__key", "__sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "entries")
+    rows = written(docs.select("doc_id", key_of(norm).alias("__key"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("__sha")), "rows")
+    entries = written(rows.groupBy("__key", "__sha").agg(F.count("*").alias("n")), "entries")
     buckets = written(directory(entries, capacity), "directory")
-    depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # 64 at most
-    # an entry's bucket is the one whose prefix its key has
-    at = entries.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) if depths else entries.withColumn("depth", F.lit(0))
-    at = at.withColumn("prefix", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftrightunsigned(__key, 64 - depth) END"))
-    placed = at.join(small(buckets.select("depth", "prefix")), ["depth", "prefix"])
-    index = written(placed.repartitionByRange("__key").sortWithinPartitions("__key", "__sha"), "index")
-    return rows, index, buckets
+    owner = placed(entries, buckets).repartition("depth", "prefix")
+    chain = Window.partitionBy("depth", "prefix", "__key")
+    chains = owner.withColumn("chained", F.sum("n").over(chain)).where("chained > 1").select("depth", "prefix", "__key", "__sha", "n")
+    return rows, buckets, written(chains, "chains")
+
+
+def resolved(docs: DataFrame, buckets: DataFrame, chains: DataFrame) -> DataFrame:
+    """Of each chain's entries: depth, prefix, __key, __sha, keep_id, group_size, from a comparison of the texts' bytes in their buckets."""
+    keys = chains.select("depth", "prefix", "__key").distinct()
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("__norm")).withColumn("__key", key_of(F.col("__norm")))
+    # the directory places keys, and keys of chains are few beside texts, which pass by without a shuffle while these are small
+    chained = texts.join(small(placed(keys.select("__key"), buckets).join(keys, ["depth", "prefix", "__key"])), "__key")
+    same = chained.groupBy("depth", "prefix", "__key", "__norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return same.select("depth", "prefix", "__key", F.unhex(F.sha2(F.col("__norm").cast("binary"), 256)).alias("__sha"), "keep_id", "group_size")
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, index, _ = build_index(docs, capacity)
-    chains = index.groupBy("__key").agg(F.sum("n").alias("n")).where("n > 1").select("__key")
-    chains = small(written(chains, "chains"))
-    norm = normalised(F.col("text"))
-    same = (
-        docs.select("doc_id", norm.alias("__norm")).withColumn("__key", F.xxhash64("__norm"))
-        .join(chains, "__key")
-        .groupBy("__key", "__norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("__key", F.unhex(F.sha2(F.col("__norm").cast("binary"), 256)).alias("__sha"), "keep_id", "group_size")
-    )
-    same = small(written(same, "same"))
-    out = rows.join(same, ["__key", "__sha"], "left")
+    rows, buckets, chains = build_index(docs, capacity)
+    same = small(written(resolved(docs, buckets, chains), "same"))
+    out = placed(rows, buckets).join(same, ["depth", "prefix", "__key", "__sha"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(

@@ -52,6 +52,28 @@ def test_directory_splits_overfull_buckets_only(spark):
     assert len(found) == len(set(keys))
 
 
+def groups_of(spark, rows):
+    return sorted((tuple(r)[:4] for r in exact_dedup.groups(frame(spark, rows), 4).collect()), key=str)
+
+
+def test_different_texts_of_one_key_are_chained_and_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "ab"[i % 2] * (i % 5) + "c" * (i % 3)) for i in range(90)]
+    right = groups_of(spark, rows)
+    monkeypatch.setattr(exact_dedup, "key_of", lambda norm: F.shiftleft(F.length(norm).cast("long") % 4, 61))
+    assert groups_of(spark, rows) == right
+
+
+def test_a_wrong_directory_changes_the_result(spark, monkeypatch):
+    rows = [(i, f"text {i % 40}") for i in range(80)]
+    right = groups_of(spark, rows)
+    assert len(right) == 80
+    build = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (d := build(*a)).where(d.prefix != d.agg({"prefix": "max"}).first()[0]))
+    assert groups_of(spark, rows) != right
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
