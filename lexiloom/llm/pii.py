@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates are the matches of the four base patterns (email, ip, card, phone) and of looser ones (masked addresses, local
-phone numbers, social security and bank account numbers, secrets, names). Every candidate is described by a few small
+phone numbers, social security and bank account numbers, secrets by their name or format, names). Every candidate is described by a few small
 numbers: its pattern, whether it passes the base rules, length, digits, separators, neighbours, and what the labelers
 look at: a checksum, gazetteers (domains, card issuers, country codes, first names), words of the context. Labelers vote for or against
 a candidate, or abstain. The table of descriptions with their counts over all documents (bounded by DESCRIPTIONS) is
@@ -42,12 +42,16 @@ PATTERNS = [
     ("phone", r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z]|[.-][0-9])"),
     ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|api_?key|access_?token|token)\x20?[=:]\x20?[^\x20\x09-\x0D,;]{4,128}+"),
+    ("secret", r"(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|secret|secret_?key|api_?key|access_?key|access_?token|auth_?token|token|PASSWORD|SECRET|SECRET_KEY|API_?KEY|ACCESS_KEY|TOKEN)\x20?[=:]\x20?[^\x20\x09-\x0D,;]{4,128}+"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|glpat-[A-Za-z0-9_-]{20,64}+|xox[abeoprs]-[A-Za-z0-9-]{10,250}+|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{16,128}+|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,4096}+\.eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+|-----BEGIN\x20(?:[A-Z]{2,10}\x20)?PRIVATE\x20KEY-----)(?![A-Za-z0-9_])"),
     ("name", r"(?<![\p{L}\p{N}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20\p{Lu}\p{Ll}{1,30}+(?:\x20\p{Lu}\p{Ll}{1,30}+)?|(?:FIRST)\x20\p{Lu}\p{Ll}{1,30}+)(?![\p{L}\p{N}])"),
 ]
 BASE = ("email", "ip", "card", "phone")
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret", "name")
 
+#: What a text with a match of the pattern must contain, by pattern: others aren't searched.
+NEEDS = {0: ["@"], 3: ["+"], 4: ["(at)", "[at]", "{at}"], 6: ["-"], 8: ["=", ":"], 9: ["AKIA", "ASIA", "gh", "glpat-", "xox", "AIza", "k_live_", "npm_", "eyJ", "PRIVATE"]}
+
 #: Gazetteers.
 FIRST_NAMES = "James John Robert Michael William David Richard Joseph Thomas Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Hans Peter Wolfgang Klaus Ursula Monika Petra Sabine Jean Pierre Michel Marie Nathalie Isabelle Antonio Manuel Francisco Carmen Josefa Dolores".split()
 TOP_DOMAINS = "com org net edu gov mil int info biz io co me de fr es it nl be at ch uk us ca au eu pl se no dk fi pt br mx ar jp cn in ru".split()
@@ -61,13 +65,13 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|sms|whatsapp",
     "ssn": r"ssn|social|security|\bsin\b",
     "iban": r"iban|bank|account|konto|transfer",
-    "secret": ".*",
+    "secret": r"pass|log-?in|user|config|export|\benv|auth|credential|secret|key|connect",
     "name": "name|sign|regards|dear|contact|by",
 }
 AGAINST = r"version|release|build|\bv$|isbn|page|section|chapter|serial|part no|order no|invoice|sku|figure"
 
 #: Most different descriptions that can occur: the product of the sizes of their parts.
-DESCRIPTIONS = len(PATTERNS) * 2 * 5 * 5 * 4 * 3 * 3 * 2 * 3 * 2 * 2
+DESCRIPTIONS = len(PATTERNS) * 2 * 5 * 5 * 4 * 3 * 3 * 3 * 2 * 2 * 2
 PARTS = ("base", "len", "digits", "seps", "before", "after", "check", "gaz", "ctx", "against")
 BLOCK = 256
 
@@ -128,6 +132,9 @@ def _check(k: int, value: Column, digits: Column) -> Column:
         return F.when(F.length(digits).between(9, 15), 1).otherwise(0)
     if kind == "ssn":
         return F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), 1).otherwise(0)
+    if kind == "secret":  # letters and digits mixed, as generated ones have them; words don't speak for it
+        part = F.regexp_replace(value, r"^[A-Za-z_]+\x20?[=:]\x20?", "")
+        return F.when(part.rlike("[0-9]") & part.rlike("[A-Za-z]") & (F.length(part) >= 8), 1).when(part.rlike("PRIVATE|[0-9]|[^A-Za-z0-9]"), 2).otherwise(0)
     return F.lit(2)
 
 
@@ -200,11 +207,21 @@ def _of_kind(column: str, k: int) -> Column:
     return F.filter(column, lambda s: s["k"] == k)
 
 
+def _matches(k: int) -> Column:
+    every = F.regexp_extract_all("t", F.lit(_pattern(k)), F.lit(0))
+    if k not in NEEDS:
+        return every
+    some = F.lit(False)
+    for part in NEEDS[k]:
+        some = some | F.contains(F.col("t"), F.lit(part))
+    return F.when(some, every).otherwise(F.array().cast("array<string>"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and found: every candidate of each document, by pattern and start."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     n = range(len(PATTERNS))
-    rows = rows.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(_pattern(k)), F.lit(0)).alias(f"m{k}") for k in n])
+    rows = rows.select("doc_id", "t", *[_matches(k).alias(f"m{k}") for k in n])
     some = lambda k: F.size(f"m{k}") > 0
     rows = rows.select("doc_id", *[f"m{k}" for k in n], *[F.when(some(k), F.split("t", _pattern(k), -1)).alias(f"g{k}") for k in n])
     rows = rows.select("doc_id", *[f"m{k}" for k in n], *[f"g{k}" for k in n], *[F.when(some(k), _lens(k)).alias(f"l{k}") for k in n])
@@ -302,21 +319,48 @@ def spans(found: DataFrame, coefficients: dict[str, float]) -> DataFrame:
         keys = [k, *[F.concat(k, F.lit(f"|{p}|"), s[p].cast("string")) for p in PARTS]]
         return sum((F.coalesce(F.element_at(weights, x), F.lit(0.0)) for x in keys[1:]), F.coalesce(F.element_at(weights, keys[0]), F.lit(0.0)))
 
-    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rows = found.select("doc_id", F.filter("found", lambda s: s["base"] == 1).alias("base"), F.filter("found", lambda s: (s["base"] == 0) & (margin(s) >= 0)).alias("more"))
-    rows = rows.withColumn("more", F.filter("more", lambda a: ~F.exists("base", lambda b: touch(a, b))))
-    earlier = lambda b, a: (b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["k"] < a["k"]))
-    rows = rows.withColumn("more", F.filter("more", lambda a: ~F.exists("more", lambda b: earlier(b, a) & touch(a, b))))
+    flat = lambda column: F.array_sort(F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    rows = found.select("doc_id", flat(F.filter("found", lambda s: s["base"] == 1)).alias("base"), flat(F.filter("found", lambda s: (s["base"] == 0) & (margin(s) >= 0))).alias("more"))
+    rows = rows.withColumn("blocks", _reach("base"))
+    rows = rows.withColumn("more", _held("blocks", F.filter("more", lambda a: ~_touched("base", "blocks", a))))
+    rows = rows.withColumn("blocks", _reach("more"))
+    rows = rows.withColumn("more", _held("blocks", F.filter("more", lambda a: ~_touched("more", "blocks", a, earlier=True))))
     kinds = F.array(*[F.lit(KINDS.index(p[0])) for p in PATTERNS])
     rank = lambda s: F.struct(F.get(kinds, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))
-    return rows.select("doc_id", "base", F.array_sort(F.concat(F.transform("base", rank), F.transform("more", rank))).alias("every"))
+    ordered = lambda column: F.array_sort(F.transform(column, rank))
+    return rows.select("doc_id", ordered("base").alias("base"), F.array_sort(F.concat(F.transform("base", rank), F.transform("more", rank))).alias("every"))
+
+
+def _reach(column: str) -> Column:
+    """Of each BLOCK of spans sorted by start: its number, first start and last end."""
+    last = F.floor((F.size(column) - 1) / BLOCK).cast("int")
+
+    def one(b: Column) -> Column:
+        own = F.slice(F.col(column), b * BLOCK + 1, F.lit(BLOCK))
+        return F.struct(b.alias("b"), F.get(own, F.lit(0))["start"].alias("start"), F.array_max(F.transform(own, lambda s: s["end"])).alias("end"))
+
+    return F.when(F.size(column) > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<b:int,start:bigint,end:bigint>>"))
+
+
+def _held(blocks: str, value: Column) -> Column:
+    """The value. That blocks occur twice keeps the optimizer from working them out anew for every span."""
+    return F.when(F.size(blocks) >= 0, value)
+
+
+def _touched(column: str, blocks: str, a: Column, earlier: bool = False) -> Column:
+    """Whether a span of the column (sorted by start, with its blocks) touches a; earlier: one that begins earlier, or there with a
+    pattern that comes first."""
+    touch = lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    first = lambda b: (b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["k"] < a["k"]))
+    each = (lambda b: first(b) & touch(b)) if earlier else touch
+    return F.exists(blocks, lambda x: touch(x) & F.exists(F.slice(F.col(column), x["b"] * BLOCK + 1, F.lit(BLOCK)), each))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     found = written(candidates(docs), "candidates")
     rows = spans(found, fitted(found))
     count = [F.size(_of_kind("base", k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return rows.select("doc_id", *count, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("every")).alias("spans"))
+    return rows.select("doc_id", *count, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,50 @@ def test_addresses_with_parts_of_zeros(spark):
         told = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert (got[i].n_ip, got[i].base_sha256) == (sum(x[0] == "ip" for x in want), hashlib.sha256(told.encode()).hexdigest()), t[:50]
         assert set(told.split(",")) <= set(got[i].spans.split(","))
+
+
+def test_very_many_spans_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"1.2.3.{i % 256} u{i}@b.org pwd=x{i:08d}" for i in range(n))
+        began = time.time()
+        row = pii.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert (row.n_ip, row.n_email) == (n, n) and row.n_spans >= 2 * n
+        return time.time() - began
+
+    took(10)
+    assert took(40_000) < 60  # some 7e9 comparisons of spans if each were held against each
+
+
+def test_spans_that_touch_earlier_ones_go(spark):
+    from pyspark.sql import functions as F
+
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(8):
+        spans = []
+        for k in (0, 1, 4, 5, 8):
+            at = 0
+            for _ in range(rng.randrange(700) if i else 0):
+                at += rng.randrange(1, 30)
+                spans.append((k, at, at + rng.randrange(1, 12), int(k < 4), *[0] * 9))
+                at = spans[-1][2]
+        rows.append((i, spans))
+    found = spark.createDataFrame(rows, f"doc_id long, found {pii._TYPE}")
+    got = {r.doc_id: [(s.start, s.end, s.k) for s in r.every] for r in pii.spans(found, {}).collect()}
+    for i, spans in rows:
+        base = [s for s in spans if s[3]]
+        touch = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        more = [s for s in spans if not s[3] and not any(touch(s, b) for b in base)]
+        more = [a for a in more if not any((b[1], b[0]) < (a[1], a[0]) and touch(a, b) for b in more)]
+        assert sorted(got[i]) == sorted((s[1], s[2], s[0]) for s in base + more)
+
+
+def test_secrets_by_format(spark):
+    keys = ["AKIA" + "A1B2" * 4, "ghp_" + "a1B2" * 9, "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"]
+    found = pii.candidates(spark.createDataFrame([(i, f"so {k} there") for i, k in enumerate([*keys, "AKIAshort", "xAKIA" + "A1B2" * 4])], "doc_id long, text string"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.found if pii.PATTERNS[s.k][0] == "secret"] for r in found.collect()}
+    assert got == {**{i: [(3, 3 + len(k))] for i, k in enumerate(keys)}, 4: [], 5: []}
