@@ -1,17 +1,22 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays that workers memory-map.
 
-Tokens of a text: its words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end. Counting goes from the highest order down
-to single words. At each order a task sorts and sums what it has read, and sends per shard one packed row (contexts, run
-lengths, following words, counts); a shard's task merges those rows, writes the order's sorted arrays to the shared folder, and
-sends on, packed likewise, how many different words stand before what remains without the first word: the continuation
-counts of the next lower order. Shards go by the context, except that the following words of contexts that are very
-frequent words (at most HOT_LIMIT of them) are spread over all shards, and those contexts' totals are summed after that.
+Tokens of a text: its words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end. Words are counted first, and get numbers, small
+ones for frequent words. N-grams are counted as sequences of numbers, from the highest order down to single words. At each
+order a task sorts and sums what it has read, and sends per shard one packed row (columns of numbers, by byte planes,
+compressed). A shard's task merges those rows, writes the order's arrays to the shared folder, and sends on, packed likewise, how many
+different words stand before what remains without the first word: the continuation counts of the next lower order. Shards go by
+a hash of the context, except that the following words of contexts that are very frequent words (at most HOT_LIMIT of
+them) are spread over all shards, and those contexts' totals are summed after that. Beyond 2**COARSE shards tasks send to groups
+of shards first, and these deal out to their shards, so that packed rows don't become many and tiny.
+
+An order's arrays in a shard: hashes of n-grams that occurred once, hashes and counts of the others, hashes of contexts that occurred
+once, hashes of the other contexts with what their counts sum up to and how many of them are 1, 2 and more. Hashes are sorted; a directory by
+their first bits, some PER_BUCKET to an entry, leaves 32 bits of each to store. Words have all 64 bits. Each shard has all its
+files, also if they're empty: a missing one fails.
 
 The discounts D1, D2, D3+ come from the counts of counts of each order (Chen and Goodman, 1999), 0.5, 1 and 1.5 where
 those are zero. Single words interpolate with 1 / (V + 1). What the model gathers grows with the distinct n-grams.
 
-Counts take four bytes where they fit, and contexts that occurred once (most of them, from order 3) are hashes alone.
-
 Defined results: null and empty texts are one end token; an empty training set scores every token 1 / (V + 1) with
 V = 0, that is 0; rows without doc_id train like others (crc32 of the empty text); repeated rows count as often as they
 stand there; an empty table gives an empty result; long texts are read whole; other columns are ignored.
@@ -24,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, drop_path, pieces, shared_path, text_bytes, written
@@ -32,14 +38,22 @@ from .texthash import LOWER, U, WHITE, chain, mix, span_hashes, spans
 
 ORDER = 3
 #: Bytes of text per shard of the counts.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Shards up to which tasks send to each, as a power of two; and tasks that write shards.
+COARSE = 12
+WRITERS = 16
 #: A word is spread over the shards if it occurs so often, or so great a share's worth of times.
 HOT_COUNT = 200_000
 HOT_LIMIT = 20_000
 #: Tokens that a task sorts at once.
 FLUSH = 2_000_000
+#: Hashes to an entry of a directory.
+PER_BUCKET = 8
 
-BEGIN, END = U(0x6C6578696C6F6F6D), U(0x656E642D6F662D74)
+END = U(0x656E642D6F662D74)
+#: Numbers of what stands before a text, and of unknown words; words have 1 and more.
+BEGIN, UNKNOWN = U(0), U((1 << 64) - 1)
+_SALT = U(0x6C6578696C6F6F6D)
 
 
 def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,211 +72,389 @@ def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, cuts
 
 
-def contexts(tokens: np.ndarray, cuts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each token the hashes of the 1, 2 .. order - 1 tokens before it."""
-    place = np.arange(len(tokens)) - np.repeat(cuts[:-1], np.diff(cuts))
+def before(numbers: np.ndarray, cuts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the numbers of the order - 1 tokens before it, the farthest first."""
+    place = np.arange(len(numbers)) - np.repeat(cuts[:-1], np.diff(cuts))
     back = []
-    for k in range(1, order):
-        b = np.empty_like(tokens)
-        b[k:] = tokens[:-k] if k < len(tokens) else tokens[:0]
+    for k in range(order - 1, 0, -1):
+        b = np.zeros_like(numbers)
+        b[k:] = numbers[:-k] if k < len(numbers) else numbers[:0]
         b[place < k] = BEGIN
         back.append(b)
-    return [chain(*back[k::-1]) for k in range(len(back))]
+    return back
 
 
-def pair(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return chain(ctx, word)
+def context(numbers: list[np.ndarray]) -> np.ndarray:
+    """A hash of the context that consists of these words."""
+    return chain(mix(numbers[0] + _SALT), *numbers[1:])
 
 
-def shards(ctx: np.ndarray, key: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+def shards(ctx: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
     if not bits:
         return np.zeros(len(ctx), np.int64)
     by = ctx
     if len(hot):
         spread = hot[np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)] == ctx
-        by = np.where(spread, key, ctx)
+        by = np.where(spread, chain(ctx, word), ctx)
     return (by >> U(64 - bits)).astype(np.int64)
 
 
+# columns of numbers
+
+
 def summed(cols: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows of equal (first, last) columns as one row, in that order; n summed. Other columns depend on the first."""
-    first, last = cols[0], cols[-1]
-    order = np.lexsort((last, first)) if len(cols) > 1 else np.argsort(last, kind="stable")
-    cols = [c[order] for c in cols]
-    n = n[order]
-    new = np.ones(len(n), bool)
-    new[1:] = cols[0][1:] != cols[0][:-1]
-    if len(cols) > 1:
-        new[1:] |= cols[-1][1:] != cols[-1][:-1]
+    """Equal rows of the columns as one row, in order; n summed."""
+    if not len(n):
+        return cols, n
+    keys: list[np.ndarray] = []
+    room = 0
+    for c in cols:  # as many columns in one number as fit
+        size = int(c.max()).bit_length()
+        if keys and size <= room:
+            keys[-1] = keys[-1] << U(size) | c
+            room -= size
+        else:
+            keys.append(c)
+            room = 64 - size
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in cols], np.add.reduceat(n, at) if len(at) else n
+    return [c[order[at]] for c in cols], np.add.reduceat(n[order], at)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """The numbers by byte planes, compressed."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(x), width], "<u4").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def expand(data: bytes) -> np.ndarray:
+    n, width = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
 
-def pack(shard: int, cols: list[np.ndarray], n: np.ndarray) -> dict:
-    """A packed row: cols are the contexts (longest first) and the words, sorted by context."""
+def pack(cols: list[np.ndarray], n: np.ndarray) -> list[bytes]:
+    """Columns of rows in order, the first one's differences, and the counts that aren't 1."""
     more = np.flatnonzero(n > 1)
-    out = {"shard": shard, "words": cols[-1].tobytes(), "at": more.astype("<u4").tobytes(), "n": n[more].astype("<u8").tobytes(), "runs": b"", "ctx": b""}
-    if len(cols) > 1:
-        begin = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-        out["runs"] = np.diff(np.append(begin, len(n))).astype("<u4").tobytes()
-        out["ctx"] = np.stack([c[begin] for c in cols[:-1]]).tobytes()
-    return out
+    return [squeeze(x) for x in (np.diff(cols[0], prepend=U(0)), *cols[1:], np.diff(more, prepend=0), n[more])]
 
 
-def unpack(row: dict, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
-    words = np.frombuffer(row["words"], U)
-    n = np.ones(len(words), np.int64)
-    n[np.frombuffer(row["at"], "<u4")] = np.frombuffer(row["n"], "<u8")
-    if not depth:
-        return [words], n
-    runs = np.frombuffer(row["runs"], "<u4")
-    return [*[np.repeat(c, runs) for c in np.frombuffer(row["ctx"], U).reshape(depth, -1)], words], n
+def unpack(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    first, *cols = (expand(x) for x in data)
+    more, many = cols[-2:]
+    n = np.ones(len(first), np.int64)
+    n[np.cumsum(more).astype(np.int64)] = many
+    return [np.cumsum(first, dtype=U), *cols[:-2]], n
 
 
-PACKED = "kind string, shard int, words binary, at binary, n binary, runs binary, ctx binary, a long, b long, c long, d long, e long"
-_NAMES = [x.split()[0] for x in PACKED.split(", ")]
-_TYPES = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
-_SCHEMA = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in PACKED.split(", ")])
+PACKED = "kind string, shard int, cols array<binary>, a long, b long, c long, d long, e long"
+_SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("cols", pa.list_(pa.binary())), *[(x, pa.int64()) for x in "abcde"]])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{k: r.get(k) for k in _NAMES} for r in rows], _SCHEMA)
+    return pa.RecordBatch.from_pylist([{k: r.get(k) for k in _SCHEMA.names} for r in rows], _SCHEMA)
 
 
-def _send(kind: str, cols: list[np.ndarray], n: np.ndarray, bits: int, hot: np.ndarray):
-    """Packed rows of summed counts, one per shard."""
-    key = pair(cols[0], cols[-1]) if len(cols) > 1 else cols[0]
-    of = shards(cols[0], key, bits, hot)
-    order = np.argsort(of, kind="stable")
+def _send(kind: str, cols: list[np.ndarray], n: np.ndarray, of: np.ndarray):
+    """Packed rows of summed counts, one for each of the shards that the rows are of."""
+    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")
     of = of[order]
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
             at = order[a:b]
-            yield _batch([{"kind": kind, **pack(int(of[a]), [c[at] for c in cols], n[at])}])
+            yield _batch([{"kind": kind, "shard": int(of[a]), "cols": pack([c[at] for c in cols], n[at])}])
 
 
-NONE = np.zeros(0, U)
+class Deal:
+    """How rows go to shards: words by their hash, grams by their context, numbers of words to the shard of the word."""
 
+    def __init__(self, kind: str, bits: int, hot: np.ndarray | None = None):
+        self.kind, self.bits, self.hot = kind, bits, np.zeros(0, U) if hot is None else hot
+        self.coarse = min(bits, COARSE)
 
-def _count_words(bits: int):
-    def run(batches):
-        held: list[np.ndarray] = []
+    def send(self, cols: list[np.ndarray], n: np.ndarray, coarse: bool = True):
+        bits = self.bits
+        if self.kind == "word":
+            of = (cols[0] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(n), np.int64)
+        elif self.kind == "number":
+            of = ((cols[0] - U(1)) & U((1 << bits) - 1)).astype(np.int64)
+        else:
+            of = shards(context(cols[:-1]), cols[-1], bits, self.hot)
+        return _send("next", cols, n, of >> (bits - self.coarse) if coarse else of)
+
+    def refine(self, batches):
+        """From groups of shards to shards."""
+        held: list[tuple] = []
         size = 0
+        for batch in batches:
+            for row in batch.column(2).to_pylist():
+                held.append(unpack(row))
+                size += len(held[-1][1])
+                if size >= FLUSH:
+                    yield from self.send(*_merged(held), coarse=False)
+                    held, size = [], 0
+        if held:
+            yield from self.send(*_merged(held), coarse=False)
+
+
+def _merged(parts: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+    return summed([np.concatenate(x) for x in zip(*[c for c, _ in parts], strict=True)], np.concatenate([n for _, n in parts]))
+
+
+def _at_writers(df: DataFrame, bits: int) -> DataFrame:
+    """Rows at the task that writes their shard, in order."""
+    few = min(bits, WRITERS)
+    return df.repartitionById(1 << few, F.shiftright("shard", bits - few)).sortWithinPartitions("shard")
+
+
+def _by_shard(df: DataFrame, deal: Deal, write) -> DataFrame:
+    """write(shard, columns, n) gives the batches of each shard; shards without rows have their turn too."""
+    bits = deal.bits
+    if bits > deal.coarse:
+        df = df.select("kind", "shard", "cols").repartitionById(1 << deal.coarse, F.col("shard")).mapInArrow(deal.refine, PACKED)
+    few = min(bits, WRITERS)
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        now, last = task << (bits - few), (task + 1) << (bits - few)
+        held: list[tuple] = []
+
+        def done(upto: int):
+            nonlocal now, held
+            while now < upto:
+                cols, n = _merged(held) if held else ([], np.zeros(0, np.int64))
+                held = []
+                yield from write(now, cols, n)
+                now += 1
+
+        for batch in batches:
+            for shard, cols in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                yield from done(shard)
+                held.append(unpack(cols))
+        yield from done(last)
+
+    return _at_writers(df, bits).mapInArrow(run, PACKED)
+
+
+# files
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes as hold each."""
+    most = int(x.max(initial=0))
+    return x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * np.dtype(t).itemsize))
+
+
+def laid_out(tables: list[list[np.ndarray]]) -> bytes:
+    """Tables of arrays as a file: for each array its place, length and bytes a number; then the arrays."""
+    flat = [x for t in tables for x in t]
+    head = np.zeros((len(flat), 3), "<u8")
+    at = head.nbytes
+    body = []
+    for i, x in enumerate(flat):
+        head[i] = at, x.size, x.itemsize
+        body += [x.tobytes(), b"\0" * (-x.nbytes % 8)]
+        at += x.nbytes + -x.nbytes % 8
+    return b"".join([head.tobytes(), *body])
+
+
+def arrays(data: np.ndarray, count: int) -> list[np.ndarray]:
+    """The file's arrays, which must be there to the end."""
+    head = data[: 24 * count].view("<u8").reshape(count, 3)
+    out = []
+    for at, size, width in head.tolist():
+        if at + size * width > len(data):
+            raise ValueError(f"{getattr(data, 'filename', 'a file')} is cut off")
+        out.append(data[at : at + size * width].view(f"<u{width}"))
+    return out
+
+
+def table(hashes: np.ndarray, values: np.ndarray | None = None) -> list[np.ndarray]:
+    """A sorted array of hashes as directory, what's left of each, and values (any number for each)."""
+    h = mix(hashes ^ _SALT)
+    order = np.argsort(h)
+    h = h[order]
+    bits = max(0, (len(h) // PER_BUCKET).bit_length())
+    ends = np.searchsorted(h >> U(64 - bits), np.arange(1 << bits, dtype=U), side="right") if bits else np.array([len(h)])
+    rest = (h << U(bits) >> U(32)).astype("<u4")
+    return [least(np.concatenate(([0], ends))), rest, least(values[order].ravel()) if values is not None else np.zeros(0, "<u1")]
+
+
+def look_up(found: list[np.ndarray], hashes: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which of the hashes are there, and their values (rows of so many)."""
+    ends, rest, held = found
+    got = np.zeros((len(hashes), values)) if values else None
+    if not len(rest):
+        return np.zeros(len(hashes), bool), got
+    h = mix(hashes ^ _SALT)
+    bits = (len(ends) - 1).bit_length() - 1
+    bucket = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    q = (h << U(bits) >> U(32)).astype("<u4")
+    lo, hi = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    end = hi
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (rest[np.minimum(mid, len(rest) - 1)] < q)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    hit = (lo < end) & (rest[np.minimum(lo, len(rest) - 1)] == q)
+    if values:
+        some = np.flatnonzero(hit)
+        got[some] = held.reshape(-1, values)[lo[some]]
+    return hit, got
+
+
+class Vocabulary:
+    """Words' numbers, counts and continuation counts."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
+        self.words: dict[int, list[np.ndarray]] = {}
+        self.following: dict[int, np.ndarray] = {}
+
+    def find(self, hashes: np.ndarray, following: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Numbers and counts of words, whose hashes are sorted; following: and continuation counts."""
+        number, n = np.full(len(hashes), UNKNOWN), np.zeros(len(hashes), np.int64)
+        after = np.zeros(len(hashes), np.int64) if following else None
+        of = (hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            shard = int(of[a])
+            if shard not in self.words:
+                self.words[shard] = arrays(map_file(f"{self.folder}/word-{shard}", np.uint8), 3)
+            keys, counts, ranks = self.words[shard]
+            if not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
+            some = np.flatnonzero(keys[at] == hashes[a:b])
+            at = at[some]
+            n[a + some] = counts[at]
+            rank = ranks[at].astype(U)
+            number[a + some] = (rank << U(self.bits) | U(shard)) + U(1)
+            if following:
+                if shard not in self.following:
+                    (self.following[shard],) = arrays(map_file(f"{self.folder}/next-{shard}", np.uint8), 1)
+                after[a + some] = self.following[shard][rank.astype(np.int64)]
+        return number, n, after
+
+
+# counting
 
-        def flush():
-            if size:
-                cols, n = summed([np.concatenate(held)], np.ones(size, np.int64))
-                yield from _send("word", cols, n, bits, NONE)
 
+def _count_words(deal: Deal):
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
         for batch in pieces(batches):
             tokens, _ = sequences(*text_bytes(batch.column(0)))
             held.append(tokens)
             size += len(tokens)
             if size >= FLUSH:
-                yield from flush()
+                yield from deal.send(*summed([np.concatenate(held)], np.ones(size, np.int64)))
                 held, size = [], 0
-        yield from flush()
+        if size:
+            yield from deal.send(*summed([np.concatenate(held)], np.ones(size, np.int64)))
 
     return run
 
 
-def _count_grams(order: int, bits: int, hot: np.ndarray):
+def _count_grams(order: int, folder: str, deal: Deal):
+    def counted(words: Vocabulary, parts: list[tuple]):
+        tokens = np.concatenate([t for t, _ in parts])
+        u, inverse = np.unique(tokens, return_inverse=True)
+        number, by = np.unique(words.find(u)[0], return_inverse=True)
+        local = by.astype(U)[inverse] + U(1)  # numbers within these texts
+        ends = np.concatenate([c[1:] + x for (_, c), x in zip(parts, np.cumsum([0, *[len(t) for t, _ in parts[:-1]]]), strict=True)])
+        cuts = np.concatenate(([0], ends))
+        cols, n = summed([*before(local, cuts, order), local], np.ones(len(local), np.int64))
+        number = np.concatenate(([BEGIN], number))
+        return deal.send([number[c.astype(np.int64)] for c in cols], n)
+
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        words = Vocabulary(folder, deal.bits)
+        held: list[tuple] = []
         size = 0
-
-        def flush():
-            if size:
-                cols, n = summed([np.concatenate(x) for x in zip(*held, strict=True)], np.ones(size, np.int64))
-                yield from _send("gram", cols, n, bits, hot if order == 2 else NONE)
-
         for batch in pieces(batches):
-            tokens, cuts = sequences(*text_bytes(batch.column(0)))
-            held.append([*contexts(tokens, cuts, order)[::-1], tokens])
-            size += len(tokens)
+            held.append(sequences(*text_bytes(batch.column(0))))
+            size += len(held[-1][0])
             if size >= FLUSH:
-                yield from flush()
+                yield from counted(words, held)
                 held, size = [], 0
-        yield from flush()
+        if size:
+            yield from counted(words, held)
 
     return run
 
 
-def _grouped(batches):
-    """(shard, packed rows) of rows that are sorted by shard."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if now is not None and row["shard"] != now:
-                yield now, rows
-                rows = []
-            now = row["shard"]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
 def _tallies(n: np.ndarray) -> dict:
-    """How many counts are 1, 2, 3 and 4, and the counts' sum and number."""
+    """How many counts are 1, 2, 3 and 4, and the counts' sum."""
     low = np.bincount(np.minimum(n, 5), minlength=6)
     return {"a": int(low[1]), "b": int(low[2]), "c": int(low[3]), "d": int(low[4]), "e": int(n.sum())}
 
 
-def _write_counts(uri: str, n: np.ndarray) -> None:
-    if n.max(initial=0) < 1 << 32:
-        write_file(f"{uri}.n4", n.astype("<u4").tobytes())
-    else:
-        write_file(f"{uri}.n8", n.astype(U).tobytes())
-
-
-def _write_words(folder: str, name: str, hot_from: int):
-    def run(batches):
-        for shard, rows in _grouped(batches):
-            parts = [unpack(r, 0) for r in rows]
-            (words,), n = summed([np.concatenate([c[0] for c, _ in parts])], np.concatenate([x for _, x in parts]))
-            write_file(f"{folder}/{name}-{shard}.u8", words.tobytes())
-            _write_counts(f"{folder}/{name}-{shard}", n)
-            often = np.flatnonzero(n >= hot_from)
-            yield _batch([{"kind": "tally", "shard": len(words), **_tallies(n)}, *[{"kind": "hot", "a": int(w), "b": int(k)} for w, k in zip(words[often].view(np.int64), n[often], strict=True)]])
-
-    return run
-
-
-def _write_grams(folder: str, level: int, bits: int, word_bits: int, hot: np.ndarray):
-    def run(batches):
-        for shard, rows in _grouped(batches):
-            parts = [unpack(r, level - 1) for r in rows]
-            del rows
-            cols, n = summed([np.concatenate(x) for x in zip(*[c for c, _ in parts], strict=True)], np.concatenate([x for _, x in parts]))
-            del parts
-            key = pair(cols[0], cols[-1])
-            for name, part in (("one", np.flatnonzero(n == 1)), ("more", np.flatnonzero(n > 1))):
-                order = part[np.argsort(key[part])]
-                write_file(f"{folder}/{name}{level}-{shard}.u8", key[order].tobytes())
-                if name == "more":
-                    _write_counts(f"{folder}/{name}{level}-{shard}", n[order])
-            begin = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-            ctx = cols[0][begin]
-            stats = np.stack([np.add.reduceat(x, begin) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))], axis=1)
-            spread = np.isin(ctx, hot) if level == 2 else np.zeros(len(ctx), bool)
-            lone = stats[:, 0] == 1
-            write_file(f"{folder}/lone{level}-{shard}.u8", ctx[lone & ~spread].tobytes())
-            write_file(f"{folder}/ctx{level}-{shard}.u8", ctx[~lone & ~spread].tobytes())
-            _write_counts(f"{folder}/ctx{level}-{shard}", stats[~lone & ~spread])
-            yield _batch([{"kind": "tally", **_tallies(n)}, *[{"kind": "hot", "a": int(c), "b": int(s[0]), "c": int(s[1]), "d": int(s[2]), "e": int(s[3])} for c, s in zip(ctx[spread].view(np.int64), stats[spread], strict=True)]])
-            if level == 2:
-                cols, n = summed([cols[-1]], np.ones(len(n), np.int64))
-                yield from _send("next", cols, n, word_bits, NONE)
-            else:
-                cols, n = summed(cols[1:], np.ones(len(n), np.int64))
-                yield from _send("next", cols, n, bits, hot if level == 3 else NONE)
-
-    return run
-
-
-def _by_shard(df: DataFrame, bits: int) -> DataFrame:
-    return df.repartition(max(2, 1 << bits), "shard").sortWithinPartitions("shard")
+def _write_words(folder: str, bits: int, hot_from: int):
+    def write(shard: int, cols: list[np.ndarray], n: np.ndarray):
+        words = cols[0] if cols else np.zeros(0, U)
+        rank = np.empty(len(n), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+        write_file(f"{folder}/word-{shard}", laid_out([[words, least(n), least(rank)]]))
+        often = np.flatnonzero(n >= hot_from)
+        yield _batch([{"kind": "tally", "shard": len(words), **_tallies(n)}, *[{"kind": "hot", "a": (int(r) << bits | shard) + 1} for r in rank[often]]])
+
+    return write
+
+
+def _write_next(folder: str, bits: int):
+    def write(shard: int, cols: list[np.ndarray], n: np.ndarray):
+        words = arrays(map_file(f"{folder}/word-{shard}", np.uint8), 3)[0]
+        by_rank = np.zeros(len(words), np.int64)
+        if cols:
+            by_rank[((cols[0] - U(1)) >> U(bits)).astype(np.int64)] = n
+        write_file(f"{folder}/next-{shard}", laid_out([[least(by_rank)]]))
+        yield _batch([{"kind": "tally", "shard": len(n), **_tallies(n)}])
+
+    return write
+
+
+#: Tables of an order's file.
+ONE, MORE, LONE, CTX = range(4)
+
+
+def _write_grams(folder: str, level: int, hot: np.ndarray, below: Deal):
+    def write(shard: int, cols: list[np.ndarray], n: np.ndarray):
+        if not cols:
+            none = table(np.zeros(0, U))
+            write_file(f"{folder}/order{level}-{shard}", laid_out([none] * 4))
+            return
+        # rows in order have equal contexts together
+        new = np.zeros(len(n), bool)
+        new[0] = True
+        for c in cols[:-1]:
+            new[1:] |= c[1:] != c[:-1]
+        begin = np.flatnonzero(new)
+        ctx = context([c[begin] for c in cols[:-1]])
+        key = chain(np.repeat(ctx, np.diff(np.append(begin, len(n)))), cols[-1])
+        stats = np.stack([np.add.reduceat(x, begin) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))], axis=1)
+        spread = np.isin(ctx, hot) if level == 2 else np.zeros(len(ctx), bool)
+        lone = stats[:, 0] == 1
+        rest = ~lone & ~spread
+        file = laid_out([table(key[n == 1]), table(key[n > 1], n[n > 1]), table(ctx[lone & ~spread]), table(ctx[rest], stats[rest])])
+        write_file(f"{folder}/order{level}-{shard}", file)
+        del key, file
+        yield _batch([{"kind": "tally", **_tallies(n)}, *[{"kind": "hot", "a": int(c), "b": int(s[0]), "c": int(s[1]), "d": int(s[2]), "e": int(s[3])} for c, s in zip(ctx[spread].view(np.int64), stats[spread], strict=True)]])
+        yield from below.send(*summed(cols[1:], np.ones(len(n), np.int64)))
+
+    return write
 
 
 def _freed(spark: SparkSession) -> None:
@@ -293,36 +485,44 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES,
     bits = max(0, math.ceil(math.log2(max(1, size / shard_bytes))))
     folder = shared_path(spark, "ngram")
     hot_from = max(hot_count, size // (4 * HOT_LIMIT))  # a token takes two bytes, so there are HOT_LIMIT * 2 at most
-    schema = PACKED
-    empty = {"a": 0, "b": 0, "c": 0, "d": 0, "e": 0}
+    empty = {"shard": 0, "a": 0, "b": 0, "c": 0, "d": 0, "e": 0}
 
     def tally(df: DataFrame) -> dict:
-        row = df.where("kind = 'tally'").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("shard", "a", "b", "c", "d", "e")]).first()
+        row = df.where("kind = 'tally'").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in empty]).first()
         return {**empty, **row.asDict()}
 
-    words = written(_by_shard(texts.mapInArrow(_count_words(bits), schema), bits).mapInArrow(_write_words(folder, "word", hot_from), schema), "words")
+    model = {"folder": folder, "bits": bits, "order": order, "tokens": 0, "types": 0, "hot": np.zeros(0, U), "levels": {}, "spread": None, "single": (0, 1.0)}
+    by_hash, by_number = Deal("word", bits), Deal("number", bits)
+    words = written(_by_shard(texts.mapInArrow(_count_words(by_hash), PACKED), by_hash, _write_words(folder, bits, hot_from)), "words")
     total = tally(words)
+    model["tokens"], model["types"] = int(total["e"]), int(total["shard"])
+    if not model["tokens"]:  # no rows, and so no tasks either
+        return model
     hot = [r.a for r in words.where("kind = 'hot'").select("a").collect()]  # bounded by hot_from
-    hot = np.unique(np.concatenate((chain(np.array(hot, np.int64).view(U)), chain(np.array([BEGIN], U)))))
+    hot = np.unique(context([np.array([int(BEGIN), *hot], U)]))
+    drop_path(spark, words._lexiloom_path)
     _freed(spark)
-    model = {"folder": folder, "bits": bits, "order": order, "tokens": int(total["e"]), "types": int(total["shard"]), "hot": hot, "levels": {}, "spread": None}
-    grams = texts.mapInArrow(_count_grams(order, bits, hot), schema)
-    for level in range(order, 1, -1):
-        done = written(_by_shard(grams, bits).mapInArrow(_write_grams(folder, level, bits, bits, hot), schema), f"order{level}")
-        model["levels"][level] = _discounts(tally(done))
+    model["hot"] = hot
+    deals = {level: Deal("gram", bits, hot if level == 2 else None) for level in range(2, order + 1)} | {1: by_number}
+    grams, above = texts.mapInArrow(_count_grams(order, folder, deals[order]), PACKED), None
+    for level in range(order, 0, -1):
+        write = _write_grams(folder, level, hot, deals[level - 1]) if level > 1 else _write_next(folder, bits)
+        done = written(_by_shard(grams, deals[level], write), f"order{level}")
+        single = tally(done)
+        model["levels"][level] = _discounts(single)
         if level == 2:
             sums = done.where("kind = 'hot'").groupBy("a").agg(*[F.sum(x).alias(x) for x in ("b", "c", "d", "e")])
             rows = sums.collect()  # one per word in hot
             ctx = np.array([r.a for r in rows], np.int64).view(U)
             by = np.argsort(ctx)
             model["spread"] = (ctx[by], np.array([[r.b, r.c, r.d, r.e] for r in rows], np.int64).reshape(-1, 4)[by])
-        grams = done.where("kind = 'next'")
+        if above is not None:
+            drop_path(spark, above._lexiloom_path)
+        grams, above = done.where("kind = 'next'"), done
         _freed(spark)
-    last = written(_by_shard(grams, bits).mapInArrow(_write_words(folder, "next", 1 << 62), schema), "order1")
-    single = tally(last)
-    d = _discounts(single)
+    drop_path(spark, above._lexiloom_path)
+    d = model["levels"][1]
     many = single["shard"] - single["a"] - single["b"]
-    model["levels"][1] = d
     model["single"] = (int(single["e"]), (d[0] * single["a"] + d[1] * single["b"] + d[2] * many) / single["e"] if single["e"] else 1.0)
     return model
 
@@ -332,63 +532,49 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.m = model
-        self.files: dict[str, np.ndarray] = {}
-
-    def file(self, name: str, dtype=U) -> np.ndarray:
-        if name not in self.files:
-            try:
-                self.files[name] = map_file(f"{self.m['folder']}/{name}", dtype)
-            except FileNotFoundError:  # no hash fell into that shard
-                self.files[name] = np.zeros(0, dtype)
-        return self.files[name]
-
-    def find(self, name: str, q: np.ndarray, shard: np.ndarray, values: int | None):
-        """Which of the hashes are there, and their values (rows of so many numbers)."""
-        order = np.lexsort((q, shard))
-        q, shard = q[order], shard[order]
+        self.words = Vocabulary(model["folder"], model["bits"])
+        self.files: dict[tuple, list[np.ndarray]] = {}
+
+    def find(self, level: int, which: int, q: np.ndarray, shard: np.ndarray, values: int):
+        """Which of the hashes are in a table of that order, and their values (rows of so many numbers)."""
         hit = np.zeros(len(q), bool)
-        got = np.zeros((len(q), values), np.float64) if values else None
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(q)]
+        got = np.zeros((len(q), values)) if values else None
+        order = np.argsort(shard.astype(np.uint16) if self.m["bits"] <= 16 else shard, kind="stable")
+        edges = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(q)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b == a:
                 continue
-            keys = self.file(f"{name}-{shard[a]}.u8")
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, q[a:b]), len(keys) - 1)
-            hit[a:b] = keys[at] == q[a:b]
+            at = order[a:b]
+            k = int(shard[at[0]])
+            if (level, k) not in self.files:
+                self.files[level, k] = arrays(map_file(f"{self.m['folder']}/order{level}-{k}", np.uint8), 12)
+            hit[at], found = look_up(self.files[level, k][3 * which : 3 * which + 3], q[at], values)
             if values:
-                table = self.file(f"{name}-{shard[a]}.n4", np.dtype("<u4"))
-                table = (table if len(table) else self.file(f"{name}-{shard[a]}.n8")).reshape(-1, values)
-                some = np.flatnonzero(hit[a:b])
-                got[a + some] = table[at[some]]
-        back = np.empty(len(q), np.int64)
-        back[order] = np.arange(len(q))
-        return hit[back], got[back] if values else None
-
-    def top(self, h: np.ndarray) -> np.ndarray:
-        return (h >> U(64 - self.m["bits"])).astype(np.int64) if self.m["bits"] else np.zeros(len(h), np.int64)
-
-    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and probabilities of single tokens."""
+                got[at] = found
+        return hit, got
+
+    def single(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, counts and probabilities of single tokens."""
         u, inverse = np.unique(tokens, return_inverse=True)
-        _, n = self.find("word", u, self.top(u), 1)
-        _, k = self.find("next", u, self.top(u), 1)
-        n, k = n[:, 0], k[:, 0]
+        if not self.m["tokens"]:
+            return np.full(len(tokens), UNKNOWN), np.zeros(len(tokens), np.int64), np.ones(len(tokens))
+        number, n, k = self.words.find(u, following=True)
         total, rest = self.m["single"]
         p = np.maximum(k - self.discount(1, k), 0) / max(total, 1) + rest / (self.m["types"] + 1)
-        return n[inverse], p[inverse]
+        return number[inverse], n[inverse], p[inverse]
 
     def discount(self, level: int, c: np.ndarray) -> np.ndarray:
         d = self.m["levels"][level]
         return np.where(c == 0, 0.0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
 
-    def step(self, level: int, ctx: np.ndarray, tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def step(self, level: int, ctx: np.ndarray, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
         """p interpolated with the counts after the contexts."""
+        bits = self.m["bits"]
         uc, inverse = np.unique(ctx, return_inverse=True)
-        seen, stats = self.find(f"ctx{level}", uc, self.top(uc), 4)
+        home = shards(uc, uc, bits, np.zeros(0, U))
+        seen, stats = self.find(level, CTX, uc, home, 4)
         left = np.flatnonzero(~seen)
-        lone, _ = self.find(f"lone{level}", uc[left], self.top(uc[left]), None)
+        lone, _ = self.find(level, LONE, uc[left], home[left], 0)
         stats[left[lone]] = 1, 1, 0, 0
         seen[left[lone]] = True
         if level == 2 and len(self.m["spread"][0]):
@@ -400,23 +586,28 @@ class Scorer:
         d = self.m["levels"][level]
         total = np.maximum(stats[:, 0], 1)
         rest = np.where(seen, (stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]) / total, 1.0)
-        key, back = np.unique(pair(ctx, tokens), return_inverse=True)
-        first = np.empty(len(key), np.int64)
-        first[back] = np.arange(len(back))
-        shard = shards(ctx[first], key, self.m["bits"], self.m["hot"] if level == 2 else NONE)
-        many, c = self.find(f"more{level}", key, shard, 1)
-        c = c[:, 0]
+        # only what follows a known context can be known
+        some = np.flatnonzero(seen[inverse])
+        key, first, back = np.unique(chain(ctx[some], numbers[some]), return_index=True, return_inverse=True)
+        first = some[first]
+        shard = shards(ctx[first], numbers[first], bits, self.m["hot"] if level == 2 else np.zeros(0, U))
+        many, found = self.find(level, MORE, key, shard, 1)
+        c = found[:, 0]
         left = np.flatnonzero(~many)
-        one, _ = self.find(f"one{level}", key[left], shard[left], None)
+        one, _ = self.find(level, ONE, key[left], shard[left], 0)
         c[left[one]] = 1
-        return ((c - self.discount(level, c))[back]) / total[inverse] + rest[inverse] * p
+        out = rest[inverse] * p
+        out[some] += (c - self.discount(level, c))[back] / total[inverse[some]]
+        return out
 
     def score(self, buf: np.ndarray, offsets: np.ndarray):
         """Per row: tokens, known tokens, base score, score."""
         tokens, cuts = sequences(buf, offsets)
-        n, p = self.words(tokens)
-        for level, ctx in zip(range(2, self.m["order"] + 1), contexts(tokens, cuts, self.m["order"]), strict=True):
-            p = self.step(level, ctx, tokens, p)
+        numbers, n, p = self.single(tokens)
+        if self.m["tokens"]:
+            back = before(numbers, cuts, self.m["order"])
+            for level in range(2, self.m["order"] + 1):
+                p = self.step(level, context(back[-(level - 1) :]), numbers, p)
         row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         base = np.log10((n + 1) / (self.m["tokens"] + self.m["types"] + 1))
         total = lambda x: np.bincount(row, weights=x, minlength=len(cuts) - 1)

@@ -93,11 +93,50 @@ def test_query_looks_at_two_words_before(spark):
     assert [got[0], got[1]] == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("most", [1, (1 << 32) - 1, 1 << 32])
-def test_counts_of_any_size(tmp_path, most):
-    ngram._write_counts(f"{tmp_path}/word-0", ngram.np.array([1, most]))
-    (tmp_path / "word-0.u8").write_bytes(ngram.np.array([3, 7], ngram.U).tobytes())
-    scorer = ngram.Scorer({"folder": str(tmp_path), "bits": 0})
-    q = ngram.np.array([7, 5, 3], ngram.U)
-    hit, n = scorer.find("word", q, scorer.top(q), 1)
-    assert hit.tolist() == [True, False, True] and n[:, 0].tolist() == [most, 0, 1]
+@pytest.mark.parametrize("most", [1, 255, 256, (1 << 32) - 1, 1 << 32])
+def test_tables_of_any_size(most):
+    np, U = ngram.np, ngram.U
+    rng = np.random.default_rng(most)
+    for size in (0, 1, 7, 1000, 40_000):
+        keys = np.unique(rng.integers(0, 1 << 63, size).astype(U))
+        values = rng.integers(1, 4, (len(keys), 2))
+        values[:1] = most
+        data = np.frombuffer(ngram.laid_out([ngram.table(keys), ngram.table(keys, values)]), np.uint8)
+        found = ngram.arrays(data, 6)
+        q = np.concatenate((keys, rng.integers(0, 1 << 63, 500).astype(U)))
+        hit, got = ngram.look_up(found[3:], q, 2)
+        assert hit.tolist() == [True] * len(keys) + [False] * 500 == ngram.look_up(found[:3], q, 0)[0].tolist()
+        assert (got[: len(keys)] == values).all() and not got[len(keys) :].any()
+        if size > 1:
+            with pytest.raises(ValueError):
+                ngram.arrays(data[:-8], 6)
+
+
+def test_packed_columns():
+    np, U = ngram.np, ngram.U
+    rng = np.random.default_rng(4)
+    for top in (3, 300, 1 << 40, 1 << 62):
+        for size in (1, 500):
+            cols, n = ngram.summed([rng.integers(0, top, size).astype(U) for _ in range(3)], np.ones(size, np.int64))
+            assert list(zip(*cols, strict=True)) == sorted(set(zip(*cols, strict=True))) and n.sum() == size
+            back, m = ngram.unpack(ngram.pack(cols, n))
+            assert all((a == b).all() for a, b in zip(back, cols, strict=True)) and (m == n).all()
+
+
+def test_groups_of_shards_and_a_lost_shard(spark, monkeypatch):
+    import os
+
+    rng = random.Random(9)
+    train = [" ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts = spark.createDataFrame([(t,) for t in train], "text string")
+    docs = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    monkeypatch.setattr(ngram, "COARSE", 2)
+    monkeypatch.setattr(ngram, "WRITERS", 3)
+    model = ngram.train(texts, 3, 400, 50)
+    assert model["bits"] > 3
+    got = {r.doc_id: r.score for r in ngram.score(docs, model).collect()}
+    want = [x[3] for x in brute(train, train, 3)[1]]
+    assert [got[i] for i in range(len(train))] == pytest.approx(want, abs=1e-9)
+    os.remove(f"{model['folder'].removeprefix('file://')}/order3-1")
+    with pytest.raises(Exception, match="order3-1"):
+        ngram.score(docs, model).collect()
