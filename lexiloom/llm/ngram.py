@@ -46,7 +46,7 @@ WRITERS = 16
 HOT_COUNT = 200_000
 HOT_LIMIT = 20_000
 #: Tokens that a task sorts at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Hashes to an entry of a directory.
 PER_BUCKET = 8
 
@@ -102,28 +102,40 @@ def shards(ctx: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> np.
 # columns of numbers
 
 
-def summed(cols: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of the columns as one row, in order; n summed."""
-    if not len(n):
-        return cols, n
+def summed(cols: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of the columns as one row, in order; n (or 1 for each) summed."""
+    if not len(cols[0]):
+        return cols, np.zeros(0, np.int64)
+    sizes = [int(c.max()).bit_length() for c in cols]
     keys: list[np.ndarray] = []
     room = 0
-    for c in cols:  # as many columns in one number as fit
-        size = int(c.max()).bit_length()
+    for c, size in zip(cols, sizes, strict=True):  # as many columns in one number as fit
         if keys and size <= room:
-            keys[-1] = keys[-1] << U(size) | c
+            keys[-1] <<= U(size)
+            keys[-1] |= c
             room -= size
         else:
-            keys.append(c)
+            keys.append(c.astype(U))
             room = 64 - size
+    if n is None and len(keys) == 1:
+        (key,) = keys
+        key.sort()
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n, key = np.diff(np.append(at, len(key))), key[at]
+        out = []
+        for size in sizes[::-1]:
+            out.append(key & U((1 << size) - 1))
+            key = key >> U(size) if size < 64 else key
+        return out[::-1], n
     order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(n), bool)
+    new = np.zeros(len(order), bool)
     new[0] = True
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
-    return [c[order[at]] for c in cols], np.add.reduceat(n[order], at)
+    total = np.diff(np.append(at, len(order))) if n is None else np.add.reduceat(n[order], at)
+    return [c[order[at]].astype(U) for c in cols], total
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -360,23 +372,23 @@ def _count_words(deal: Deal):
             held.append(tokens)
             size += len(tokens)
             if size >= FLUSH:
-                yield from deal.send(*summed([np.concatenate(held)], np.ones(size, np.int64)))
+                yield from deal.send(*summed([np.concatenate(held)]))
                 held, size = [], 0
         if size:
-            yield from deal.send(*summed([np.concatenate(held)], np.ones(size, np.int64)))
+            yield from deal.send(*summed([np.concatenate(held)]))
 
     return run
 
 
 def _count_grams(order: int, folder: str, deal: Deal):
     def counted(words: Vocabulary, parts: list[tuple]):
-        tokens = np.concatenate([t for t, _ in parts])
-        u, inverse = np.unique(tokens, return_inverse=True)
+        u, inverse = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
         number, by = np.unique(words.find(u)[0], return_inverse=True)
-        local = by.astype(U)[inverse] + U(1)  # numbers within these texts
+        local = (by + 1).astype(np.uint32)[inverse]  # numbers within these texts
+        del inverse
         ends = np.concatenate([c[1:] + x for (_, c), x in zip(parts, np.cumsum([0, *[len(t) for t, _ in parts[:-1]]]), strict=True)])
         cuts = np.concatenate(([0], ends))
-        cols, n = summed([*before(local, cuts, order), local], np.ones(len(local), np.int64))
+        cols, n = summed([*before(local, cuts, order), local])
         number = np.concatenate(([BEGIN], number))
         return deal.send([number[c.astype(np.int64)] for c in cols], n)
 
@@ -452,7 +464,7 @@ def _write_grams(folder: str, level: int, hot: np.ndarray, below: Deal):
         write_file(f"{folder}/order{level}-{shard}", file)
         del key, file
         yield _batch([{"kind": "tally", **_tallies(n)}, *[{"kind": "hot", "a": int(c), "b": int(s[0]), "c": int(s[1]), "d": int(s[2]), "e": int(s[3])} for c, s in zip(ctx[spread].view(np.int64), stats[spread], strict=True)]])
-        yield from below.send(*summed(cols[1:], np.ones(len(n), np.int64)))
+        yield from below.send(*summed(cols[1:]))
 
     return write
 

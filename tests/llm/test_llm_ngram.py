@@ -117,7 +117,10 @@ def test_packed_columns():
     rng = np.random.default_rng(4)
     for top in (3, 300, 1 << 40, 1 << 62):
         for size in (1, 500):
-            cols, n = ngram.summed([rng.integers(0, top, size).astype(U) for _ in range(3)], np.ones(size, np.int64))
+            raw = [rng.integers(0, top, size).astype(U) for _ in range(3)]
+            cols, n = ngram.summed(raw)
+            again, m = ngram.summed(raw, np.full(size, 2))
+            assert all((a == b).all() for a, b in zip(again, cols, strict=True)) and (m == 2 * n).all()
             assert list(zip(*cols, strict=True)) == sorted(set(zip(*cols, strict=True))) and n.sum() == size
             back, m = ngram.unpack(ngram.pack(cols, n))
             assert all((a == b).all() for a, b in zip(back, cols, strict=True)) and (m == n).all()
