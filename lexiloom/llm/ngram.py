@@ -222,9 +222,14 @@ def _merged(parts: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
     return summed([np.concatenate(x) for x in zip(*[c for c, _ in parts], strict=True)], np.concatenate([n for _, n in parts]))
 
 
+def _few(bits: int) -> int:
+    """Tasks that write shards, as a power of two: some shards each, so that tables have fewer files."""
+    return min(max(0, bits - 2), WRITERS)
+
+
 def _at_writers(df: DataFrame, bits: int) -> DataFrame:
     """Rows at the task that writes their shard, in order."""
-    few = min(bits, WRITERS)
+    few = _few(bits)
     return df.repartitionById(1 << few, F.shiftright("shard", bits - few)).sortWithinPartitions("shard")
 
 
@@ -233,7 +238,7 @@ def _by_shard(df: DataFrame, deal: Deal, write) -> DataFrame:
     bits = deal.bits
     if bits > deal.coarse:
         df = df.select("kind", "shard", "cols").repartitionById(1 << deal.coarse, F.col("shard")).mapInArrow(deal.refine, PACKED)
-    few = min(bits, WRITERS)
+    few = _few(bits)
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -281,11 +286,13 @@ def laid_out(tables: list[list[np.ndarray]]) -> bytes:
 
 def arrays(data: np.ndarray, count: int) -> list[np.ndarray]:
     """The file's arrays, which must be there to the end."""
+    name = getattr(data, "filename", "a file")
+    data = data.view(np.ndarray)
     head = data[: 24 * count].view("<u8").reshape(count, 3)
     out = []
     for at, size, width in head.tolist():
         if at + size * width > len(data):
-            raise ValueError(f"{getattr(data, 'filename', 'a file')} is cut off")
+            raise ValueError(f"{name} is cut off")
         out.append(data[at : at + size * width].view(f"<u{width}"))
     return out
 
@@ -293,31 +300,35 @@ def arrays(data: np.ndarray, count: int) -> list[np.ndarray]:
 def table(hashes: np.ndarray, values: np.ndarray | None = None) -> list[np.ndarray]:
     """A sorted array of hashes as directory, what's left of each, and values (any number for each)."""
     h = mix(hashes ^ _SALT)
-    order = np.argsort(h)
-    h = h[order]
+    if values is None:
+        h.sort()
+    else:
+        order = np.argsort(h)
+        h, values = h[order], values[order]
     bits = max(0, (len(h) // PER_BUCKET).bit_length())
     ends = np.searchsorted(h >> U(64 - bits), np.arange(1 << bits, dtype=U), side="right") if bits else np.array([len(h)])
-    rest = (h << U(bits) >> U(32)).astype("<u4")
-    return [least(np.concatenate(([0], ends))), rest, least(values[order].ravel()) if values is not None else np.zeros(0, "<u1")]
+    rest = np.append(h << U(bits) >> U(32), U(0)).astype("<u4")  # and one more, so that looking behind the last is allowed
+    return [least(np.concatenate(([0], ends))), rest, least(values.ravel()) if values is not None else np.zeros(0, "<u1")]
 
 
 def look_up(found: list[np.ndarray], hashes: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray | None]:
     """Which of the hashes are there, and their values (rows of so many)."""
     ends, rest, held = found
     got = np.zeros((len(hashes), values)) if values else None
-    if not len(rest):
+    if len(rest) < 2:
         return np.zeros(len(hashes), bool), got
     h = mix(hashes ^ _SALT)
     bits = (len(ends) - 1).bit_length() - 1
     bucket = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     q = (h << U(bits) >> U(32)).astype("<u4")
-    lo, hi = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    index = np.int32 if len(rest) < 1 << 31 else np.int64
+    lo, hi = ends[bucket].astype(index), ends[bucket + 1].astype(index)
     end = hi
     for _ in range(int((hi - lo).max(initial=0)).bit_length()):
         mid = (lo + hi) >> 1
-        less = (lo < hi) & (rest[np.minimum(mid, len(rest) - 1)] < q)
+        less = (rest[mid] < q) & (lo < hi)
         lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    hit = (lo < end) & (rest[np.minimum(lo, len(rest) - 1)] == q)
+    hit = (rest[lo] == q) & (lo < end)
     if values:
         some = np.flatnonzero(hit)
         got[some] = held.reshape(-1, values)[lo[some]]
@@ -579,37 +590,44 @@ class Scorer:
         d = self.m["levels"][level]
         return np.where(c == 0, 0.0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
 
-    def step(self, level: int, ctx: np.ndarray, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """p interpolated with the counts after the contexts."""
-        bits = self.m["bits"]
-        uc, inverse = np.unique(ctx, return_inverse=True)
-        home = shards(uc, uc, bits, np.zeros(0, U))
-        seen, stats = self.find(level, CTX, uc, home, 4)
+    def contexts(self, level: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts are known, and what their counts sum up to and how many are 1, 2 and more."""
+        home = shards(ctx, ctx, self.m["bits"], np.zeros(0, U))
+        seen, stats = self.find(level, CTX, ctx, home, 4)
         left = np.flatnonzero(~seen)
-        lone, _ = self.find(level, LONE, uc[left], home[left], 0)
-        stats[left[lone]] = 1, 1, 0, 0
-        seen[left[lone]] = True
+        lone, _ = self.find(level, LONE, ctx[left], home[left], 0)
+        left = left[lone]
+        stats[left] = 1, 1, 0, 0
+        seen[left] = True
         if level == 2 and len(self.m["spread"][0]):
             known, sums = self.m["spread"]
-            at = np.minimum(np.searchsorted(known, uc), len(known) - 1)
-            spread = known[at] == uc
+            at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
+            spread = known[at] == ctx
             stats[spread] = sums[at[spread]]
             seen |= spread
+        return seen, stats
+
+    def step(self, level: int, ctx: np.ndarray, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """p interpolated with the counts after the contexts."""
+        if level == 2:  # words, many of which occur often
+            u, inverse = np.unique(ctx, return_inverse=True)
+            seen, stats = self.contexts(level, u)
+            seen, stats = seen[inverse], stats[inverse]
+        else:
+            seen, stats = self.contexts(level, ctx)
         d = self.m["levels"][level]
         total = np.maximum(stats[:, 0], 1)
-        rest = np.where(seen, (stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]) / total, 1.0)
+        out = np.where(seen, (stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]) / total, 1.0) * p
         # only what follows a known context can be known
-        some = np.flatnonzero(seen[inverse])
-        key, first, back = np.unique(chain(ctx[some], numbers[some]), return_index=True, return_inverse=True)
-        first = some[first]
-        shard = shards(ctx[first], numbers[first], bits, self.m["hot"] if level == 2 else np.zeros(0, U))
+        some = np.flatnonzero(seen)
+        key = chain(ctx[some], numbers[some])
+        shard = shards(ctx[some], numbers[some], self.m["bits"], self.m["hot"] if level == 2 else np.zeros(0, U))
         many, found = self.find(level, MORE, key, shard, 1)
         c = found[:, 0]
         left = np.flatnonzero(~many)
         one, _ = self.find(level, ONE, key[left], shard[left], 0)
         c[left[one]] = 1
-        out = rest[inverse] * p
-        out[some] += (c - self.discount(level, c))[back] / total[inverse[some]]
+        out[some] += (c - self.discount(level, c)) / total[some]
         return out
 
     def score(self, buf: np.ndarray, offsets: np.ndarray):
