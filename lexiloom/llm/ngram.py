@@ -9,10 +9,10 @@ a hash of the context, except that the following words of contexts that are very
 them) are spread over all shards, and those contexts' totals are summed after that. Beyond 2**COARSE shards tasks send to groups
 of shards first, and these deal out to their shards, so that packed rows don't become many and tiny.
 
-An order's arrays in a shard: hashes of n-grams that occurred once, hashes and counts of the others, hashes of contexts that occurred
-once, hashes of the other contexts with what their counts sum up to and how many of them are 1, 2 and more. Hashes are sorted; a directory by
-their first bits, some PER_BUCKET to an entry, leaves 32 bits of each to store. Words have all 64 bits. Each shard has all its
-files, also if they're empty: a missing one fails.
+An order's arrays in a shard: sorted hashes of n-grams with their counts, and sorted hashes of contexts with what the counts after
+them sum up to and how many of these are 1, 2 and more. A directory by the hashes' first bits, some PER_BUCKET to an entry, leaves
+32 bits of each to store; the shard's CODES - 1 most frequent values are a byte each, others a list beside. Words have all 64
+bits. Each shard has all its files, also if they're empty: a missing one fails.
 
 The discounts D1, D2, D3+ come from the counts of counts of each order (Chen and Goodman, 1999), 0.5, 1 and 1.5 where
 those are zero. Single words interpolate with 1 / (V + 1). What the model gathers grows with the distinct n-grams.
@@ -47,8 +47,11 @@ HOT_COUNT = 200_000
 HOT_LIMIT = 20_000
 #: Tokens that a task sorts at once.
 FLUSH = 1_000_000
-#: Hashes to an entry of a directory.
+#: Hashes to an entry of a directory, and codes of values.
 PER_BUCKET = 8
+CODES = 256
+#: Bits of each number of a value that may get a code, by how many numbers a value has.
+SMALL = {1: (14,), 2: (7, 7), 4: (4, 4, 3, 3)}
 
 END = U(0x656E642D6F662D74)
 #: Numbers of what stands before a text, and of unknown words; words have 1 and more.
@@ -179,11 +182,11 @@ def _send(kind: str, cols: list[np.ndarray], n: np.ndarray, of: np.ndarray):
     """Packed rows of summed counts, one for each of the shards that the rows are of."""
     order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")
     of = of[order]
+    cols, n = [c[order] for c in cols], n[order]
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            at = order[a:b]
-            yield _batch([{"kind": kind, "shard": int(of[a]), "cols": pack([c[at] for c in cols], n[at])}])
+    rows = [{"kind": kind, "shard": int(of[a]), "cols": pack([c[a:b] for c in cols], n[a:b])} for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    if rows:
+        yield _batch(rows)
 
 
 class Deal:
@@ -297,26 +300,41 @@ def arrays(data: np.ndarray, count: int) -> list[np.ndarray]:
     return out
 
 
-def table(hashes: np.ndarray, values: np.ndarray | None = None) -> list[np.ndarray]:
-    """A sorted array of hashes as directory, what's left of each, and values (any number for each)."""
+def table(hashes: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """A sorted array of hashes as directory and what's left of each; the values (some numbers for each) as codes, what the codes
+    mean, and places and values of those without a code."""
     h = mix(hashes ^ _SALT)
-    if values is None:
-        h.sort()
-    else:
-        order = np.argsort(h)
-        h, values = h[order], values[order]
+    order = np.argsort(h)
+    h, values = h[order], values[order]
     bits = max(0, (len(h) // PER_BUCKET).bit_length())
     ends = np.searchsorted(h >> U(64 - bits), np.arange(1 << bits, dtype=U), side="right") if bits else np.array([len(h)])
     rest = np.append(h << U(bits) >> U(32), U(0)).astype("<u4")  # and one more, so that looking behind the last is allowed
-    return [least(np.concatenate(([0], ends))), rest, least(values.ravel()) if values is not None else np.zeros(0, "<u1")]
-
-
-def look_up(found: list[np.ndarray], hashes: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """Which of the hashes are there, and their values (rows of so many)."""
-    ends, rest, held = found
-    got = np.zeros((len(hashes), values)) if values else None
+    # values whose numbers fit in a few bits, in one number; the most frequent of these get codes
+    sizes = SMALL[values.shape[1]]
+    small, which = np.ones(len(h), bool), np.zeros(len(h), np.int64)
+    for c, size in zip(values.T, sizes, strict=True):
+        small &= c < 1 << size
+        which = which << size | c
+    which[~small] = 0
+    often = np.bincount(which[small], minlength=1 << sum(sizes))
+    most = np.argsort(-often, kind="stable")[: CODES - 1]
+    most = most[often[most] > 0]
+    code = np.full(len(often), CODES - 1, np.uint8)
+    code[most] = np.arange(len(most))
+    codes = np.where(small, code[which], np.uint8(CODES - 1))
+    others = np.flatnonzero(codes == CODES - 1)
+    means = [most >> sum(sizes[i + 1 :]) & (1 << size) - 1 for i, size in enumerate(sizes)]
+    return [least(np.concatenate(([0], ends))), rest, codes, least(np.stack(means, axis=1).ravel()), least(others), least(values[others].ravel())]
+
+
+def look_up(found: list[np.ndarray], hashes: np.ndarray, width: int, derive) -> np.ndarray:
+    """What derive makes of the hashes' values (rows of width numbers), or of a row of zeros for hashes that aren't there."""
+    ends, rest, codes, meaning, others, other_values = found
+    means = np.zeros((CODES, width))
+    means[: len(meaning) // width] = meaning.reshape(-1, width)
+    means = derive(means)
     if len(rest) < 2:
-        return np.zeros(len(hashes), bool), got
+        return np.repeat(means[-1:], len(hashes), axis=0)
     h = mix(hashes ^ _SALT)
     bits = (len(ends) - 1).bit_length() - 1
     bucket = (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
@@ -329,10 +347,13 @@ def look_up(found: list[np.ndarray], hashes: np.ndarray, values: int) -> tuple[n
         less = (rest[mid] < q) & (lo < hi)
         lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
     hit = (rest[lo] == q) & (lo < end)
-    if values:
-        some = np.flatnonzero(hit)
-        got[some] = held.reshape(-1, values)[lo[some]]
-    return hit, got
+    lo[~hit] = 0
+    code = codes[lo]
+    code[~hit] = CODES - 1  # zeros, also for what has no code, until that is looked up
+    got = means[code]
+    if len(others) and len(some := np.flatnonzero(hit & (codes[lo] == CODES - 1))):
+        got[some] = derive(other_values.reshape(-1, width)[np.searchsorted(others, lo[some])].astype(float))
+    return got
 
 
 class Vocabulary:
@@ -450,14 +471,14 @@ def _write_next(folder: str, bits: int):
 
 
 #: Tables of an order's file.
-ONE, MORE, LONE, CTX = range(4)
+GRAM, CTX = range(2)
 
 
 def _write_grams(folder: str, level: int, hot: np.ndarray, below: Deal):
     def write(shard: int, cols: list[np.ndarray], n: np.ndarray):
         if not cols:
-            none = table(np.zeros(0, U))
-            write_file(f"{folder}/order{level}-{shard}", laid_out([none] * 4))
+            none = [table(np.zeros(0, U), np.zeros((0, width), np.int64)) for width in (1, 4)]
+            write_file(f"{folder}/order{level}-{shard}", laid_out(none))
             return
         # rows in order have equal contexts together
         new = np.zeros(len(n), bool)
@@ -469,11 +490,8 @@ def _write_grams(folder: str, level: int, hot: np.ndarray, below: Deal):
         key = chain(np.repeat(ctx, np.diff(np.append(begin, len(n)))), cols[-1])
         stats = np.stack([np.add.reduceat(x, begin) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))], axis=1)
         spread = np.isin(ctx, hot) if level == 2 else np.zeros(len(ctx), bool)
-        lone = stats[:, 0] == 1
-        rest = ~lone & ~spread
-        file = laid_out([table(key[n == 1]), table(key[n > 1], n[n > 1]), table(ctx[lone & ~spread]), table(ctx[rest], stats[rest])])
-        write_file(f"{folder}/order{level}-{shard}", file)
-        del key, file
+        write_file(f"{folder}/order{level}-{shard}", laid_out([table(key, n[:, None]), table(ctx[~spread], stats[~spread])]))
+        del key
         yield _batch([{"kind": "tally", **_tallies(n)}, *[{"kind": "hot", "a": int(c), "b": int(s[0]), "c": int(s[1]), "d": int(s[2]), "e": int(s[3])} for c, s in zip(ctx[spread].view(np.int64), stats[spread], strict=True)]])
         yield from below.send(*summed(cols[1:]))
 
@@ -558,10 +576,10 @@ class Scorer:
         self.words = Vocabulary(model["folder"], model["bits"])
         self.files: dict[tuple, list[np.ndarray]] = {}
 
-    def find(self, level: int, which: int, q: np.ndarray, shard: np.ndarray, values: int):
-        """Which of the hashes are in a table of that order, and their values (rows of so many numbers)."""
-        hit = np.zeros(len(q), bool)
-        got = np.zeros((len(q), values)) if values else None
+    def find(self, level: int, which: int, q: np.ndarray, shard: np.ndarray, derive) -> np.ndarray:
+        """What derive makes of the values in a table of that order."""
+        width = 4 if which == CTX else 1
+        got = np.empty((len(q), derive(np.zeros((1, width))).shape[1]))
         order = np.argsort(shard.astype(np.uint16) if self.m["bits"] <= 16 else shard, kind="stable")
         edges = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(q)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -571,10 +589,8 @@ class Scorer:
             k = int(shard[at[0]])
             if (level, k) not in self.files:
                 self.files[level, k] = arrays(map_file(f"{self.m['folder']}/order{level}-{k}", np.uint8), 12)
-            hit[at], found = look_up(self.files[level, k][3 * which : 3 * which + 3], q[at], values)
-            if values:
-                got[at] = found
-        return hit, got
+            got[at] = look_up(self.files[level, k][6 * which : 6 * which + 6], q[at], width, derive)
+        return got
 
     def single(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers, counts and probabilities of single tokens."""
@@ -590,45 +606,32 @@ class Scorer:
         d = self.m["levels"][level]
         return np.where(c == 0, 0.0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
 
-    def contexts(self, level: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which contexts are known, and what their counts sum up to and how many are 1, 2 and more."""
-        home = shards(ctx, ctx, self.m["bits"], np.zeros(0, U))
-        seen, stats = self.find(level, CTX, ctx, home, 4)
-        left = np.flatnonzero(~seen)
-        lone, _ = self.find(level, LONE, ctx[left], home[left], 0)
-        left = left[lone]
-        stats[left] = 1, 1, 0, 0
-        seen[left] = True
+    def contexts(self, level: int, ctx: np.ndarray) -> np.ndarray:
+        """One over the sum of the counts after each context, and the share that goes to the lower order."""
+        d = self.m["levels"][level]
+
+        def derive(v: np.ndarray) -> np.ndarray:
+            one = np.where(v[:, 0] > 0, 1 / np.maximum(v[:, 0], 1), 0.0)
+            return np.stack([one, np.where(v[:, 0] > 0, (v[:, 1] * d[0] + v[:, 2] * d[1] + v[:, 3] * d[2]) * one, 1.0)], axis=1)
+
+        found = self.find(level, CTX, ctx, shards(ctx, ctx, self.m["bits"], np.zeros(0, U)), derive)
         if level == 2 and len(self.m["spread"][0]):
             known, sums = self.m["spread"]
             at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
             spread = known[at] == ctx
-            stats[spread] = sums[at[spread]]
-            seen |= spread
-        return seen, stats
+            found[spread] = derive(sums[at[spread]])
+        return found
 
     def step(self, level: int, ctx: np.ndarray, numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
         """p interpolated with the counts after the contexts."""
         if level == 2:  # words, many of which occur often
             u, inverse = np.unique(ctx, return_inverse=True)
-            seen, stats = self.contexts(level, u)
-            seen, stats = seen[inverse], stats[inverse]
+            found = self.contexts(level, u)[inverse]
         else:
-            seen, stats = self.contexts(level, ctx)
-        d = self.m["levels"][level]
-        total = np.maximum(stats[:, 0], 1)
-        out = np.where(seen, (stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]) / total, 1.0) * p
-        # only what follows a known context can be known
-        some = np.flatnonzero(seen)
-        key = chain(ctx[some], numbers[some])
-        shard = shards(ctx[some], numbers[some], self.m["bits"], self.m["hot"] if level == 2 else np.zeros(0, U))
-        many, found = self.find(level, MORE, key, shard, 1)
-        c = found[:, 0]
-        left = np.flatnonzero(~many)
-        one, _ = self.find(level, ONE, key[left], shard[left], 0)
-        c[left[one]] = 1
-        out[some] += (c - self.discount(level, c)) / total[some]
-        return out
+            found = self.contexts(level, ctx)
+        shard = shards(ctx, numbers, self.m["bits"], self.m["hot"] if level == 2 else np.zeros(0, U))
+        c = self.find(level, GRAM, chain(ctx, numbers), shard, lambda v: v - self.discount(level, v))[:, 0]
+        return c * found[:, 0] + found[:, 1] * p
 
     def score(self, buf: np.ndarray, offsets: np.ndarray):
         """Per row: tokens, known tokens, base score, score."""

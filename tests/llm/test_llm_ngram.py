@@ -100,16 +100,17 @@ def test_tables_of_any_size(most):
     for size in (0, 1, 7, 1000, 40_000):
         keys = np.unique(rng.integers(0, 1 << 63, size).astype(U))
         values = rng.integers(1, 4, (len(keys), 2))
+        values[::7, 0] = np.arange(len(values[::7]))  # more than there are codes
         values[:1] = most
-        data = np.frombuffer(ngram.laid_out([ngram.table(keys), ngram.table(keys, values)]), np.uint8)
-        found = ngram.arrays(data, 6)
+        data = np.frombuffer(ngram.laid_out([ngram.table(keys, values[:, :1]), ngram.table(keys, values)]), np.uint8)
+        found = ngram.arrays(data, 12)
         q = np.concatenate((keys, rng.integers(0, 1 << 63, 500).astype(U)))
-        hit, got = ngram.look_up(found[3:], q, 2)
-        assert hit.tolist() == [True] * len(keys) + [False] * 500 == ngram.look_up(found[:3], q, 0)[0].tolist()
-        assert (got[: len(keys)] == values).all() and not got[len(keys) :].any()
+        for width, some in ((1, found[:6]), (2, found[6:])):
+            got = ngram.look_up(some, q, width, lambda v: 2 * v + 1)
+            assert (got[: len(keys)] == 2 * values[:, :width] + 1).all() and (got[len(keys) :] == 1).all()
         if size > 1:
             with pytest.raises(ValueError):
-                ngram.arrays(data[:-8], 6)
+                ngram.arrays(data[:-8], 12)
 
 
 def test_packed_columns():
