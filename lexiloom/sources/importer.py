@@ -105,7 +105,7 @@ def finalized(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
     documents: id, pages (how many there are to be); pages: id, page_index, text. Documents that lack pages stay as they are.
     """
-    own = pages.groupBy("id").agg(F.countDistinct("page_index").alias("found"), F.max("page_index").alias("last"), F.bool_or(F.length(F.trim("text")) > 0).alias("readable"))
+    own = pages.groupBy("id").agg(F.countDistinct("page_index").alias("found"), F.max("page_index").alias("last"), F.bool_or(F.col("text").rlike(r"\S")).alias("readable"))
     rows = documents.select("id", "pages").join(own, "id", "left")
     complete = (F.col("found") == F.col("pages")) & (F.col("last") == F.col("pages") - 1)
     status = F.when(complete & F.col("readable"), "ready").when(complete, "recognition-required").otherwise("processing")
