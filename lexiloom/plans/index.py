@@ -2,18 +2,21 @@
 
 A segment is a folder of postings, partitioned by a hash of the term and sorted by term, so that a query's terms prune
 folders first and row groups next; its cost follows its terms' postings, not the collection. Each posting carries the section's
-length, so that scoring needs no join; frequencies are counts of the postings read. The manifest names the live segments
-and the totals, and is replaced as a whole. Added documents make a new segment; those that they replace, and removed ones,
+length, so that scoring needs no join; frequencies are counts of the postings read. Each generation has a manifest that names
+the live segments and the totals; one writer at most can publish a generation. Added documents make a new segment; those that they replace, and removed ones,
 are tombstones until compact() writes all that lives as one segment again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from copy import deepcopy
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiloom.functions.stemming import stemmed
@@ -37,6 +40,10 @@ POSTING = "term string, doc_id long, ordinal long, d long, t long, h long, b lon
 SIZES = "doc_id long, sections long, tokens long"
 
 
+class Conflict(RuntimeError):
+    """Another writer published first: open the index again, and repeat the change."""
+
+
 class IncompatibleIndex(ValueError):
     """The index is of another version or identity, or there's none."""
 
@@ -59,26 +66,46 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """The generations that have a manifest, begun or complete, in order."""
+    fs, at = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n)))
+
+
+def _manifest(spark: SparkSession, path: str, generation: int) -> dict | None:
+    """A generation's manifest; None if its writer didn't finish it."""
+    try:
+        return json.loads(spark.read.text(f"{path}/manifest-{generation}.json", wholetext=True).first()[0])
+    except (TypeError, ValueError):
+        return None
+
+
 def read_manifest(spark: SparkSession, path: str) -> Manifest:
-    fs, at = _fs(spark, f"{path}/manifest.json")
-    if not fs.exists(at):
+    """The newest complete one."""
+    found = next((m for g in reversed(_manifests(spark, path)) if (m := _manifest(spark, path, g))), None)
+    if found is None:
         raise IncompatibleIndex("no index")
-    found = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
     if found.get("schema_version") != SCHEMA_VERSION or found.get("identity") not in {f"{a}-{VERSION}" for a in ANALYZERS}:
         raise IncompatibleIndex(f"{found.get('schema_version')} {found.get('identity')}")
     return Manifest(**found)
 
 
 def write_manifest(spark: SparkSession, path: str, m: Manifest) -> None:
-    """All or nothing: written beside, then renamed into place."""
-    fs, at = _fs(spark, f"{path}/manifest.json")
-    _, part = _fs(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
-    out = fs.create(part)
+    """Publish a generation, if nobody else has: a compare-and-swap, as a file that exists isn't created again.
+
+    A writer that dies while it writes leaves a manifest that readers pass over and writers don't: to go on, remove it.
+    """
+    there = _manifests(spark, path)
+    if there and there[-1] >= m.generation:
+        raise Conflict(f"generation {there[-1]} is there already")
+    fs, at = _fs(spark, f"{path}/manifest-{m.generation}.json")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        raise Conflict(f"generation {m.generation} is there already") from e
     out.write(bytearray(json.dumps(asdict(m)).encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError("the manifest couldn't be replaced")
 
 
 def _sections(docs: DataFrame) -> DataFrame:
@@ -155,37 +182,46 @@ class Index:
             parts.append(rows if gone is None else rows.join(gone, "doc_id", "left_anti"))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
-    def _bury(self, ids: DataFrame) -> None:
+    def _bury(self, ids: DataFrame, m: Manifest) -> None:
         """Mark documents as gone from all segments there are."""
-        name = f"tombstones-{self.m.generation}-{uuid.uuid4().hex[:8]}"
+        name = f"tombstones-{m.generation}-{uuid.uuid4().hex[:8]}"
         gone = self._live("sizes", SIZES).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
         gone.write.parquet(f"{self.path}/{name}")
         total = self.spark.read.schema(SIZES).parquet(f"{self.path}/{name}").agg(F.coalesce(F.sum("sections"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
         if total[2]:
-            self.m.rows, self.m.tokens = self.m.rows - total[0], self.m.tokens - total[1]
-            for s in self.m.segments:
-                self.m.tombstones.setdefault(s, []).append(name)
+            m.rows, m.tokens = m.rows - total[0], m.tokens - total[1]
+            for s in m.segments:
+                m.tombstones.setdefault(s, []).append(name)
+
+    def _next(self) -> Manifest:
+        m = deepcopy(self.m)
+        m.generation += 1
+        return m
+
+    def _publish(self, m: Manifest) -> None:
+        write_manifest(self.spark, self.path, m)
+        self.m = m  # only now: what failed has changed nothing here either
 
     def add(self, docs: DataFrame) -> None:
         """Add documents, in place of those with the same ids."""
-        self.m.generation += 1
-        self._bury(docs)
-        self._segment(docs, self.path, self.m)
-        write_manifest(self.spark, self.path, self.m)
+        m = self._next()
+        self._bury(docs, m)
+        self._segment(docs, self.path, m)
+        self._publish(m)
 
     def remove(self, ids: DataFrame) -> None:
-        self.m.generation += 1
-        self._bury(ids)
-        write_manifest(self.spark, self.path, self.m)
+        m = self._next()
+        self._bury(ids, m)
+        self._publish(m)
 
     def compact(self) -> None:
         """All that lives as one segment."""
-        name = f"segment-{self.m.generation + 1}-{uuid.uuid4().hex[:8]}"
-        self._write(self._live("postings", POSTING), f"{self.path}/{name}/postings", self.m.buckets, self.m.tokens)
+        m = self._next()
+        name = f"segment-{m.generation}-{uuid.uuid4().hex[:8]}"
+        self._write(self._live("postings", POSTING), f"{self.path}/{name}/postings", m.buckets, m.tokens)
         self._live("sizes", SIZES).write.parquet(f"{self.path}/{name}/sizes")
-        self.m.generation += 1
-        self.m.segments, self.m.tombstones = [name], {}
-        write_manifest(self.spark, self.path, self.m)
+        m.segments, m.tombstones = [name], {}
+        self._publish(m)
 
     def postings(self, words: list[str]) -> DataFrame:
         """The live postings of some words; their buckets are worked out here, so that folders are pruned.

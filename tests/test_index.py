@@ -48,8 +48,8 @@ def test_other_versions_are_refused(spark, tmp_path):
     with pytest.raises(index.IncompatibleIndex):
         index.Index(spark, path)
     index.Index.build(docs(spark, ROWS), path, 2)
-    at = tmp_path / "index" / "manifest.json"
-    (at.parent / ".manifest.json.crc").unlink()
+    at = tmp_path / "index" / "manifest-0.json"
+    (at.parent / ".manifest-0.json.crc").unlink()
     for change in ({"schema_version": 99}, {"identity": "other"}):
         at.write_text(json.dumps({**json.loads(at.read_text()), **change}))
         with pytest.raises(index.IncompatibleIndex):
@@ -71,3 +71,38 @@ def test_terms_prune_folders_and_row_groups(spark, tmp_path):
     plan = i.postings(["two"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:200]
     assert "PushedFilters: [" in plan and "term" in plan.split("PushedFilters: [")[1][:200]
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index.Index.build(docs(spark, ROWS), path, 2)
+    a, b = index.Index(spark, path), index.Index(spark, path)
+    a.add(docs(spark, [(5, "a", "two one")]))
+    before = b.m
+    with pytest.raises(index.Conflict):
+        b.add(docs(spark, [(6, "b", "two one")]))
+    assert b.m is before and before.generation == 0
+    same(index.Index(spark, path), docs(spark, [*ROWS, (5, "a", "two one")]))
+    b = index.Index(spark, path)
+    b.add(docs(spark, [(6, "b", "two one")]))
+    same(b, docs(spark, [*ROWS, (5, "a", "two one"), (6, "b", "two one")]))
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    i = index.Index.build(docs(spark, ROWS), path, 2)
+
+    def dies(*_):
+        raise OSError
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "write_manifest", dies)
+        for change in (lambda: i.add(docs(spark, [(1, "a", "new two")])), lambda: i.remove(docs(spark, [(2, "", "")])), i.compact):
+            with pytest.raises(OSError):
+                change()
+    same(i, docs(spark, ROWS))
+    (tmp_path / "index" / "manifest-1.json").write_text('{"schema_ver')
+    again = index.Index(spark, path)
+    same(again, docs(spark, ROWS))
+    with pytest.raises(index.Conflict):
+        again.remove(docs(spark, [(2, "", "")]))
