@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -19,12 +20,20 @@ _TOKEN = re.compile(r"\S+")
 _STOP = re.compile(r"""(?:\.(?=["'”’»)\]」』）】]*(?:\s|$))|[!?؟。！？])["'”’»)\]」』）】]*|(?<![\r\n])(?=\r?\n\r?\n)""")
 
 
+def _ended(text: str, at: int) -> int:
+    """Where the text before a place ends, without white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def windows(text: str, tokens: int = TOKENS, chars: int = CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Ranges of a text with so many tokens at most, ended at a sentence or paragraph in their second half where there's one."""
     spans = []
     for m in _TOKEN.finditer(text):  # tokens longer than a window are cut
         spans += [(a, min(a + chars, m.end())) for a in range(m.start(), m.end(), chars)]
-    stops = sorted({len(text[: m.end()].rstrip()) for m in _STOP.finditer(text)})
+    at_stop = {_ended(text, m.end()) for m in _STOP.finditer(text)}
+    stops = sorted(at_stop)
     out: list[tuple[int, int]] = []
     first, n = 0, len(spans)
     while first < n:
@@ -33,15 +42,15 @@ def windows(text: str, tokens: int = TOKENS, chars: int = CHARS, overlap: int =
             last -= 1
         if last < n:
             half = spans[first + (last - first) // 2][1]
-            good = [s for s in stops if half <= s <= spans[last - 1][1]]
-            if good:
-                while last > first + 1 and spans[last - 1][1] > good[-1]:
+            near = bisect_right(stops, spans[last - 1][1]) - 1
+            if near >= 0 and stops[near] >= half:
+                while last > first + 1 and spans[last - 1][1] > stops[near]:
                     last -= 1
         out.append((spans[first][0], spans[last - 1][1]))
         if last == n:
             break
         back = min(overlap, (last - first) // 3)
-        begins = [k for k in range(first + (last - first) // 2, last) if k > first and any(spans[k - 1][1] == s for s in stops)]
+        begins = [k for k in range(first + (last - first) // 2, last) if k > first and spans[k - 1][1] in at_stop]
         at = max((k for k in begins if k <= last - back), default=last - back)
         first = at if at > first else last
     return out
