@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -110,20 +111,18 @@ class Library:
             checked = phrases.verified(self.sections.join(rows.select("doc_id"), "doc_id", "left_semi"), normal)
             rows = rows.join(phrases.excerpted(checked, normal[0]).drop("norm"), "doc_id")
         rows = rows.cache()
-        try:
-            total = rows.agg(F.count("*"), F.coalesce(F.sum("matching_sections"), F.lit(0))).first()
-            shown = bm25.numbered(rows, limit, *order)
-            out = Result(shown, total[0], total[1])
-            if total[0] and not normal:
-                own = bm25.Scored(s.rows.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi"), wanted)  # MOST rows at most
-                sizes = self.sections.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("sections"))
-                out.passages, out.locations = evidence.passages(own), evidence.histogram(own, sizes)
-                out.coverage = evidence.coverage(own) if terms else None
-            elif not total[0] and not found and mode == "all":
-                out.suggestion = self._spelt(analysis.terms(q.unquoted))
-            return out
-        finally:
-            rows.unpersist()
+        total = rows.agg(F.count("*"), F.coalesce(F.sum("matching_sections"), F.lit(0))).first()
+        shown = bm25.numbered(rows, limit, *order)
+        out = Result(shown, total[0], total[1])
+        weakref.finalize(out, rows.unpersist)  # the ranking is kept for as long as the result, which is shown later
+        if total[0] and not normal:
+            own = bm25.Scored(s.rows.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi"), wanted)  # MOST rows at most
+            sizes = self.sections.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("sections"))
+            out.passages, out.locations = evidence.passages(own), evidence.histogram(own, sizes)
+            out.coverage = evidence.coverage(own) if terms else None
+        elif not total[0] and not found and mode == "all":
+            out.suggestion = self._spelt(analysis.terms(q.unquoted))
+        return out
 
     def _normal(self, phrase: str) -> str:
         return self.spark.range(1).select(normal_form(F.lit(phrase))).first()[0]
