@@ -60,9 +60,13 @@ def html_sections(spark, sf_dir):
     return html.html_sections(texts(spark, sf_dir, "pages")).select("page_id", "ordinal", "is_heading", "heading", "text", "auxiliary")
 
 
-@query()
+@query(f"""WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id AS ordinal, (1 + page_id % 6)::INTEGER AS rank, {_TITLE} AS title FROM pages), n AS (SELECT *, count(*) OVER (PARTITION BY host) AS n FROM h)
+SELECT host, ordinal, substr(trim(regexp_replace(title, '[ \t\n\r\f]+', ' ', 'g')), 1, 512) AS label, rank, (SELECT max(b.ordinal) FROM h b WHERE b.host = n.host AND b.ordinal < n.ordinal AND b.rank < n.rank) AS parent FROM n WHERE n >= 2""")
 def outline_links(spark, sf_dir):
-    return html.outline(html.html_sections(texts(spark, sf_dir, "pages")).where("is_heading AND NOT auxiliary"))
+    """An outline of each host's pages, with ranks by number; pages of the tables have one heading, and so none of their own."""
+    pages = texts(spark, sf_dir, "pages")
+    titles = pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.col("page_id").alias("ordinal"), (F.col("page_id") % 6 + 1).cast("int").alias("rank"), T.html_title(F.col("html")).alias("text"))
+    return html.outline(titles, "host")
 
 
 @query(f"""WITH {SECTIONS}, h AS (SELECT doc_id, ordinal, text, (length(text) < 60 AND NOT contains(text, '.')) AS heading FROM sec)
