@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import weakref
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.functions.stemming import stems
 from lexiloom.functions.text import normal_form
-from lexiloom.operators import analysis, bm25, evidence, phrases, semantic
+from lexiloom.operators import analysis, bm25, evidence, maintenance, phrases, semantic
 from lexiloom.plans.index import Index
 
 #: Most and usual results of a search.
@@ -118,7 +119,8 @@ class Library:
         if total[0] and not normal:
             own = bm25.Scored(s.rows.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi"), wanted)  # MOST rows at most
             sizes = self.sections.join(F.broadcast(shown.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("sections"))
-            out.passages, out.locations = evidence.passages(own), evidence.histogram(own, sizes)
+            words = [w for t in analysis.terms(q.unquoted) for w in analysis.words(t)]
+            out.passages, out.locations = evidence.excerpts(evidence.passages(own), self.sections, words), evidence.histogram(own, sizes)
             out.coverage = evidence.coverage(own) if terms else None
         elif not total[0] and not found and mode == "all":
             out.suggestion = self._spelt(analysis.terms(q.unquoted))
@@ -136,12 +138,32 @@ class Library:
         """Occurrences by section of one document."""
         return phrases.counts(self.sections.where(F.col("doc_id") == doc_id), self._normal(phrase[:512]))
 
-    def conceptual(self, vectors: DataFrame, query: list[float], k: int = USUAL, scope: DataFrame | None = None, exact: list[str] = ()) -> DataFrame:
+    def availability(self, vectors: DataFrame, dims: int | None = None) -> str:
+        """empty: no documents; missing-index: none has vectors; incompatible: vectors of other dimensions; partial; ready."""
+        row = maintenance.coverage(self.sections.select("doc_id"), vectors.select("doc_id")).first()
+        if not row.eligible:
+            return "empty"
+        if row.indexed and dims is not None and vectors.where(F.size("vector") != dims).limit(1).count():
+            return "incompatible"
+        return row.status
+
+    def conceptual(self, vectors: DataFrame, query: list[float] | Callable[[], list[float]], k: int = USUAL, scope: DataFrame | None = None, exact: list[str] = ()) -> DataFrame:
         """The nearest documents by their passages' vectors (doc_id, passage, vector); phrases must stand in them literally.
 
-        Lexical and conceptual rankings are never mixed.
+        query: a vector, or what encodes it, which is called once, and only if a document may be found. Vectors with a
+        content_hash are held against the live sections: documents whose best passage has changed aren't shown. Lexical and
+        conceptual rankings are never mixed.
         """
         if exact:
             held = phrases.verified(self.sections, [self._normal(p) for p in exact]).select("doc_id")
             scope = held if scope is None else held.join(scope.select("doc_id"), "doc_id", "left_semi")
-        return semantic.top(vectors, query, k, scope, "doc_id", "passage")
+        if callable(query):
+            some = vectors if scope is None else vectors.join(scope.select("doc_id"), "doc_id", "left_semi")
+            if not some.limit(1).count():
+                return semantic.top(vectors.where("false"), [0.0], k, None, "doc_id", "passage")
+            query = query()
+        found = semantic.top(vectors, query, max(1, min(k, semantic.MOST)), scope, "doc_id", "passage")
+        if "content_hash" not in vectors.columns:
+            return found
+        hashed = found.join(vectors.select("doc_id", "passage", "content_hash"), ["doc_id", "passage"])
+        return semantic.current(hashed, self.sections).select(*found.columns).orderBy(F.desc("score"), "doc_id")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .bm25 import Scored, clauses, scored
 
 BINS = 12
+#: Tokens of a snippet.
+SNIPPET = 64
 #: Candidates for a misspelt word, and how many of them are tried.
 CANDIDATES, TRIED = 256, 8
 
@@ -20,6 +22,44 @@ def passages(s: Scored, n: int = 3) -> DataFrame:
     return rows.where(F.col("passage") <= n).select("doc_id", "passage", "ordinal", F.col("body_score").alias("score"))
 
 
+def _bare(token: Column) -> Column:
+    """A token as a word: its letters and digits, in lower case."""
+    return F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}]", "")
+
+
+def snippet(text: Column, words: list[str], tokens: int = SNIPPET) -> Column:
+    """So many tokens around the first that is one of the words, these marked; … where text is left out."""
+    parts = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    first = F.array_position(F.transform(parts, lambda p: _bare(p).isin(words)), True).cast("int")
+    begin = F.greatest(F.lit(1), F.least(first - tokens // 4, F.size(parts) - tokens + 1))
+    shown = F.transform(F.slice(parts, begin, F.lit(tokens)), lambda p: F.when(_bare(p).isin(words), F.concat(F.lit("<mark>"), p, F.lit("</mark>"))).otherwise(p))
+    before, after = F.when(begin > 1, "… ").otherwise(""), F.when(begin + tokens <= F.size(parts), " …").otherwise("")
+    return F.when(F.size(parts) == 0, "").otherwise(F.concat(before, F.array_join(shown, " "), after))
+
+
+def main_content(rows: DataFrame, words: list[str]) -> DataFrame:
+    """rows (with text, and body: its ranges of main content) with terms and part: the range with the most different words, the
+    first of such; where no range has one, 0 and the whole text. A row's hits are then citations, and go behind others."""
+    wanted = F.array(*[F.lit(w) for w in words])
+
+    def one(r: Column) -> Column:
+        part = F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"])
+        own = F.transform(F.regexp_extract_all(part, F.lit(r"\S+"), F.lit(0)), _bare)
+        return F.struct(F.size(F.array_intersect(wanted, own)).alias("terms"), (-r["start"]).alias("back"), part.alias("part"))
+
+    rows = rows.withColumn("__best", F.array_max(F.transform("body", one)))
+    found = F.coalesce(F.col("__best.terms"), F.lit(0))
+    return rows.withColumn("terms", found).withColumn("part", F.when(found > 0, F.col("__best.part")).otherwise(F.col("text"))).drop("__best")
+
+
+def excerpts(found: DataFrame, sections: DataFrame, words: list[str], tokens: int = SNIPPET) -> DataFrame:
+    """found (doc_id, ordinal and what else it has) with in_body and a snippet of the section's main content; sections without body
+    ranges are main content as a whole."""
+    rows = sections if "body" in sections.columns else sections.withColumn("body", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))))
+    own = main_content(found.join(rows.select("doc_id", "ordinal", "text", "body"), ["doc_id", "ordinal"]), words)
+    return own.withColumn("in_body", F.col("terms") > 0).withColumn("snippet", snippet(F.col("part"), words, tokens)).drop("text", "body", "part")
+
+
 def histogram(s: Scored, sizes: DataFrame) -> DataFrame:
     """Matching sections by twelfths of their document. sizes: doc_id, sections."""
     rows = s.rows.where(s.matched("body") > 0).select("doc_id", "ordinal").join(sizes, "doc_id")

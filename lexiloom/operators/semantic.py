@@ -7,7 +7,7 @@ from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from lexiloom.functions.vectors import dot, valid
 
@@ -69,11 +69,44 @@ def passage_input(title: Column, heading: Column, text: Column) -> Column:
     return F.concat(F.lit("passage: "), F.concat_ws(". ", F.nullif(title, F.lit("")), F.nullif(heading, F.lit("")), text))
 
 
+_REGIONS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("auxiliary", BooleanType())]))
+
+
+def regions(text: str, body: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """A text's stretches of main content and what lies between them (auxiliary), in order; white space alone is none."""
+    edges, out = 0, []
+    for a, b in [*body, (len(text), len(text))]:
+        out += [(edges, a, True), (a, b, False)]
+        edges = b
+    return [(a, b, aux) for a, b, aux in out if text[a:b].strip()]
+
+
+@F.pandas_udf(_REGIONS)
+def region_ranges(t: pd.Series, body: pd.Series) -> pd.Series:
+    """Windows within regions: none bridges a border."""
+
+    def one(x, ranges):
+        own = regions(x, [(r["start"], r["end"]) for r in ranges]) if x else []
+        return [{"start": a + c, "end": a + d, "auxiliary": aux} for a, b, aux in own for c, d in windows(x[a:b])]
+
+    return pd.Series([one(x, r if r is not None else []) for x, r in zip(t, body, strict=True)])
+
+
 def passages(sections: DataFrame) -> DataFrame:
-    """doc_id, ordinal, start, end, content_hash of all windows of sections (with title, text)."""
-    rows = sections.select("doc_id", "ordinal", "title", "text", F.explode_outer(passage_ranges("text")).alias("r")).where("r IS NOT NULL")
+    """doc_id, ordinal, start, end, content_hash of all windows of sections (with title, text); of sections with body ranges, by
+    region, and with auxiliary."""
+    apart = "body" in sections.columns
+    ranges = region_ranges("text", "body") if apart else passage_ranges("text")
+    rows = sections.select("doc_id", "ordinal", "title", "text", F.explode_outer(ranges).alias("r")).where("r IS NOT NULL")
     own = F.substring(F.col("text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start"))
-    return rows.select("doc_id", "ordinal", "r.start", "r.end", F.sha2(passage_input(F.col("title"), F.lit(None).cast("string"), own).cast("binary"), 256).alias("content_hash"))
+    hashed = F.sha2(passage_input(F.col("title"), F.lit(None).cast("string"), own).cast("binary"), 256).alias("content_hash")
+    return rows.select("doc_id", "ordinal", "r.start", "r.end", hashed, *["r.auxiliary"] * apart)
+
+
+def current(found: DataFrame, sections: DataFrame) -> DataFrame:
+    """Of found passages (doc_id, content_hash) those that the live sections still have. Only the found documents are read."""
+    live = passages(sections.join(found.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "content_hash")
+    return found.join(live, ["doc_id", "content_hash"], "left_semi")
 
 
 def to_encode(passages: DataFrame, known: DataFrame) -> DataFrame:
@@ -108,17 +141,19 @@ def checked(vectors: DataFrame, dims: int) -> DataFrame:
 def neighbours(sections: DataFrame, hits: DataFrame, around: int = 4) -> DataFrame:
     """doc_id, hit, ordinal, text: sections around each hit, within the limits of characters on either side.
 
-    The text of each span and of each side is cut at its limit. Hits are few; sections are found by an equi-join on the
-    document and a band of the ordinal.
+    The text of each span and of each side is cut at its limit; with a column auxiliary, a side ends before the first section
+    that is nothing else. Hits are few; sections are found by an equi-join on the document and a band of the ordinal.
     """
-    rows = hits.select("doc_id", F.col("ordinal").alias("hit")).join(sections.select("doc_id", "ordinal", "text"), "doc_id")
+    aux = F.col("auxiliary") if "auxiliary" in sections.columns else F.lit(False)
+    rows = hits.select("doc_id", F.col("ordinal").alias("hit")).join(sections.select("doc_id", "ordinal", "text", aux.alias("auxiliary")), "doc_id")
     rows = rows.where(F.abs(F.col("ordinal") - F.col("hit")) <= around)
     side = F.signum(F.col("ordinal") - F.col("hit")).cast("int")
     rows = rows.withColumn("side", side).withColumn("text", F.substring("text", 1, PER_SPAN))
     w = W.partitionBy("doc_id", "hit", "side").orderBy(F.abs(F.col("ordinal") - F.col("hit")))
     before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("room", PER_SIDE - before).withColumn("k", F.row_number().over(w))
-    rows = rows.where((F.col("room") > 0) & ((F.col("side") == 0) | (F.col("k") <= SPANS - 1)))
+    ended = F.max("auxiliary").over(w.rowsBetween(W.unboundedPreceding, 0)) & (F.col("side") != 0)
+    rows = rows.withColumn("ended", ended).withColumn("room", PER_SIDE - before).withColumn("k", F.row_number().over(w))
+    rows = rows.where(~F.col("ended") & (F.col("room") > 0) & ((F.col("side") == 0) | (F.col("k") <= SPANS - 1)))
     return rows.select("doc_id", "hit", "ordinal", F.substring(F.col("text"), F.lit(1), F.col("room").cast("int")).alias("text"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.functions import speech, stemming, text as T
-from lexiloom.operators import alignment, analysis, layout, library, maintenance, semantic, timing, transfer
+from lexiloom.operators import alignment, analysis, evidence, layout, library, maintenance, semantic, timing, transfer
 from lexiloom.sources import epub, files, html, importer, markdown
 
 QUERIES: dict = {}
@@ -647,3 +647,42 @@ def passage_inputs(spark):
     """VEC-4, 5: what an encoder gets."""
     rows = [("T", "H", "x"), ("T", None, "x")]
     return _column(spark, "title string, heading string, text string", rows, input=semantic.passage_input(F.col("title"), F.col("heading"), F.col("text")))
+
+
+_RANGED = "doc_id long, ordinal long, title string, text string, body array<struct<start:int,end:int>>"
+
+
+@case("start long, end long, auxiliary boolean", (0, 10, False), (11, 21, True), (22, 33, False))
+def passage_regions(spark):
+    """VEC-1, 3: windows stay within main content or what lies between."""
+    rows = [(1, 0, "T", "Main part. See [1] p. More of it.", [(0, 10), (22, 33)])]
+    return semantic.passages(spark.createDataFrame(rows, _RANGED))
+
+
+@case("doc_id long, terms long, part string", (1, 2, "tide and moon"), (2, 0, "only cited: tide"), (3, 1, "a Tide."))
+def main_content_parts(spark):
+    """FTS-16: the range with the most different words; hits outside of all ranges are citations."""
+    rows = [(1, 0, "t", "tide here. tide and moon", [(0, 10), (11, 24)]), (2, 0, "t", "only cited: tide", [(0, 10)]), (3, 0, "t", "a Tide.", [(0, 7)])]
+    return evidence.main_content(spark.createDataFrame(rows, _RANGED), ["tide", "moon"])
+
+
+@case("t string, shown string", ("one two three four", "… <mark>two</mark> three four"), ("a b c d Two!", "… c d <mark>Two!</mark>"), ("none of it at all", "none of it …"), ("", ""))
+def snippets(spark):
+    """FTS-14: a window of tokens around the first hit."""
+    rows = [("one two three four",), ("a b c d Two!",), ("none of it at all",), ("",)]
+    return _column(spark, "t string", rows, shown=evidence.snippet(F.col("t"), ["two"], 3))
+
+
+@case("ordinal long", (2,), (3,), (4,), (5,), (6,))
+def context_stops(spark):
+    """WIN-6: context ends before a section that is auxiliary."""
+    rows = spark.createDataFrame([(1, i, f"s{i}", i in (1, 7)) for i in range(10)], "doc_id long, ordinal long, text string, auxiliary boolean")
+    return semantic.neighbours(rows, spark.createDataFrame([(1, 4)], "doc_id long, ordinal long"))
+
+
+@case("doc_id long", (1,))
+def passages_verified(spark):
+    """VEC-11: found passages whose text has changed are left out."""
+    s = spark.createDataFrame([(1, 0, "T", "same text"), (2, 0, "T", "old text"), (3, 0, "T", "gone")], "doc_id long, ordinal long, title string, text string")
+    live = spark.createDataFrame([(1, 0, "T", "same text"), (2, 0, "T", "new text")], s.schema)
+    return semantic.current(semantic.passages(s).select("doc_id", "content_hash"), live)

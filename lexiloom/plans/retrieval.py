@@ -337,6 +337,24 @@ def retrieval_metrics(spark, sf_dir):
     return ranking_metrics(bm25.numbered(bm25.search(_sections(spark, sf_dir), bm25.clauses(TWO)), 10), grades)
 
 
+_WORDS = "['" + "', '".join(TWO.split()) + "']"
+_OWN = "regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+@query(f"""WITH {SECTIONS}, p AS (SELECT doc_id, ordinal, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS parts FROM sec),
+h AS (SELECT *, list_position(list_transform(parts, lambda x: {_OWN} IN ('with', 'from')), true) AS first FROM p),
+b AS (SELECT *, greatest(1, least(first - 4, len(parts) - 15)) AS b FROM h WHERE first IS NOT NULL AND first > 0)
+SELECT doc_id, ordinal, len(list_intersect({_WORDS}, list_transform(parts, lambda x: {_OWN})))::INTEGER AS terms,
+  (CASE WHEN b > 1 THEN '… ' ELSE '' END) || array_to_string(list_transform(parts[b:b + 15], lambda x: CASE WHEN {_OWN} IN ('with', 'from') THEN '<mark>' || x || '</mark>' ELSE x END), ' ') || (CASE WHEN b + 16 <= len(parts) THEN ' …' ELSE '' END) AS snippet
+FROM b""")
+def hit_snippets(spark, sf_dir):
+    """Snippets of all sections that have a term, with how many different ones they have."""
+    rows = _sections(spark, sf_dir)
+    words = TWO.split()
+    out = evidence.excerpts(rows.select("doc_id", "ordinal"), rows, words, 16)
+    return out.where("in_body").select("doc_id", "ordinal", "terms", "snippet")
+
+
 # The same searches over an index that's built once per session and table.
 
 _INDEXES: dict = {}

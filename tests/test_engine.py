@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window, functions as F
 
 from lexiloom.engine import Library
 from lexiloom.operators.analysis import QueryTooLong
@@ -96,6 +97,27 @@ def test_concordance_find_and_conceptual(spark, library):
     assert [r.doc_id for r in library.conceptual(v, [1.0, 0.0], 2, exact=["old river"]).collect()] == [5]
 
 
+def test_conceptual_requests_encode_late_and_hold_passages_against_the_text(spark, library):
+    from lexiloom.operators import semantic
+
+    own = semantic.passages(library.sections.where("doc_id IN (4, 5)")).withColumn("passage", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "start")) - 1)
+    v = own.select("doc_id", "passage", F.when(F.col("doc_id") == 4, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.8), F.lit(0.6))).alias("vector"), "content_hash")
+    asked = []
+    encode = lambda: asked.append(1) or [1.0, 0.0]
+    assert [r.doc_id for r in library.conceptual(v, encode).collect()] == [4, 5] and asked == [1]
+    assert library.conceptual(v, encode, scope=v.where("false").select("doc_id")).count() == 0 and asked == [1]
+    stale = v.withColumn("content_hash", F.when(F.col("doc_id") == 4, "other").otherwise(F.col("content_hash")))
+    assert [r.doc_id for r in library.conceptual(stale, [1.0, 0.0]).collect()] == [5]
+    assert library.availability(v, 2) == "partial" and library.availability(v, 3) == "incompatible" and library.availability(v.where("false")) == "missing-index"
+    every = library.sections.select("doc_id", F.array(F.lit(1.0)).alias("vector"))
+    assert library.availability(every, 1) == "ready"
+
+
+def test_passages_have_snippets(library):
+    rows = library.search("marble statue").passages.collect()
+    assert rows and all("<mark>" in r.snippet and r.in_body for r in rows)
+
+
 def test_documents_can_be_added(spark, library, tmp_path):
     s = spark.createDataFrame(ROWS, library.sections.schema)
     own = Library.create(spark, s, f"file://{tmp_path}/more")
