@@ -9,10 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexiloom.engine import Library
 from lexiloom.functions import speech, stemming, text as T
 from lexiloom.operators import alignment, analysis, evidence, layout, library, maintenance, semantic, timing, transfer
+from lexiloom.plans.index import Conflict, Index
 from lexiloom.sources import epub, files, html, importer, markdown
 
+from .streams import _work
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -686,3 +690,145 @@ def passages_verified(spark):
     s = spark.createDataFrame([(1, 0, "T", "same text"), (2, 0, "T", "old text"), (3, 0, "T", "gone")], "doc_id long, ordinal long, title string, text string")
     live = spark.createDataFrame([(1, 0, "T", "same text"), (2, 0, "T", "new text")], s.schema)
     return semantic.current(semantic.passages(s).select("doc_id", "content_hash"), live)
+
+
+# requests to a small library
+
+_LIBRARIES: dict = {}
+_SHELF = "doc_id long, title string, ordinal long, heading string, text string"
+_BOOKS = [
+    (1, "Tides", 0, None, "The slow tide turns"), (1, "Tides", 1, None, "and the moon pulls"), (2, "Harbour", 0, None, "A marble statue by the quay"), (3, "Garden", 0, None, "A marble statue of a heron"),
+    (4, "Museum", 0, None, "marble statue"), (5, "Script", 0, None, "هذا الكِتاب هنا"), (6, "River", 0, None, "the quiet old river"),
+]
+
+
+def _shelf(spark: SparkSession) -> Library:
+    key = spark.sparkContext.applicationId
+    if key not in _LIBRARIES:
+        _LIBRARIES[key] = Library.create(spark, spark.createDataFrame(_BOOKS, _SHELF), f"{_work(spark)}/shelf")
+    return _LIBRARIES[key]
+
+
+@case("request string, found string, total long", ("all", "4,3,2", 3), ("limit", "4", 3), ("scope", "3,2", 2), ("nothing in scope", "", 0))
+def library_requests(spark):
+    """FLT-5, JN-2, SRT-9, 12, AGG-5: equal scores newest first; totals are those before the limit, and within the scope."""
+    shelf, ids = _shelf(spark), spark.createDataFrame([(2,), (3,)], "doc_id long")
+    asked = {"all": {}, "limit": {"limit": 1}, "scope": {"scope": ids}, "nothing in scope": {"scope": ids.where("false")}}
+    out = []
+    for name, options in asked.items():
+        r = shelf.search("marble statue", **options)
+        shown = [d.doc_id for d in r.documents.orderBy("rank").collect()]
+        # the shortest section scores best, the others differ in length by one token
+        out.append((name, ",".join(str(d) for d in sorted(shown, reverse=True)), r.total_documents))
+    return out
+
+
+@case("request string, found string", ("slow pulls", "1:document"), ("الكتاب", "5:section"), ('"quiet old" river', "6:section"), ('"quiet river"', ""))
+def library_modes(spark):
+    """FTS-10, 12, 19: terms in different sections, the index of Arabic forms, phrases as they're written."""
+    return [(q, ",".join(f"{d.doc_id}:{d.scope}" for d in _shelf(spark).search(q).documents.collect())) for q in ("slow pulls", "الكتاب", '"quiet old" river', '"quiet river"')]
+
+
+@case("word string, before string, after string", ("harbour", "2", ""), ("quayside", "", "2"), ("sundial", "", "7"))
+def library_titles(spark):
+    """SNK-1, 2, 3: an update changes the title everywhere, and new documents are found."""
+    own = Library.create(spark, spark.createDataFrame(_BOOKS, _SHELF), f"{_work(spark)}/titles")
+    found = lambda w: ",".join(str(d.doc_id) for d in own.search(w).documents.collect())
+    words = ("harbour", "quayside", "sundial")
+    before = [found(w) for w in words]
+    own.add(spark.createDataFrame([(2, "Quayside", 0, None, "A marble statue by the quay"), (7, "Sundial", 0, None, "")], _SHELF))
+    return [(w, b, found(w)) for w, b in zip(words, before, strict=True)]
+
+
+@case("writer string, outcome string", ("first", "published"), ("second", "conflict"), ("second, opened again", "published"))
+def index_writers(spark):
+    """JN-9: of two writers of one generation one publishes."""
+    path = f"{_work(spark)}/writers"
+    rows = spark.createDataFrame(_BOOKS, _SHELF)
+    Index.build(rows, path, 2)
+    first, second = Index(spark, path), Index(spark, path)
+    out = []
+    for name, writer in (("first", lambda: first), ("second", lambda: second), ("second, opened again", lambda: Index(spark, path))):
+        try:
+            writer().remove(rows.where("doc_id = 2"))
+            out.append((name, "published"))
+        except Conflict:
+            out.append((name, "conflict"))
+    return out
+
+
+def _vectors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(2, 0, [1.0, 0.0]), (3, 0, [0.8, 0.6]), (6, 0, [0.0, 1.0])], "doc_id long, passage long, vector array<float>")
+
+
+@case("request string, found string", ("all", "2,3,6"), ("two", "2,3"), ("with a phrase", "6"), ("none in scope", ""))
+def conceptual_requests(spark):
+    """VEC-8, 9, 13: nearest first, with phrases that must stand in the text, and scopes."""
+    shelf, v = _shelf(spark), _vectors(spark)
+    asked = {"all": {}, "two": {"k": 2}, "with a phrase": {"exact": ["quiet old"]}, "none in scope": {"scope": v.where("false").select("doc_id")}}
+    return [(name, ",".join(str(d.doc_id) for d in shelf.conceptual(v, [1.0, 0.0], **options).collect())) for name, options in asked.items()]
+
+
+@case("scope string, encoded long", ("some", 1), ("none", 0))
+def conceptual_encoding(spark):
+    """VEC-10: a request is encoded once, and only if a document may be found."""
+    out = []
+    for name, where in (("some", "true"), ("none", "false")):
+        calls: list[int] = []
+        _shelf(spark).conceptual(_vectors(spark), lambda calls=calls: calls.append(1) or [1.0, 0.0], scope=_vectors(spark).where(where).select("doc_id")).collect()
+        out.append((name, len(calls)))
+    return out
+
+
+@case("vectors string, state string", ("some", "partial"), ("none", "missing-index"), ("of other dimensions", "incompatible"), ("all", "ready"))
+def conceptual_availability(spark):
+    """VEC-12: whether conceptual requests can be answered."""
+    shelf, v = _shelf(spark), _vectors(spark)
+    every = shelf.sections.select("doc_id").distinct().withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    return [("some", shelf.availability(v, 2)), ("none", shelf.availability(v.where("false"), 2)), ("of other dimensions", shelf.availability(v, 3)), ("all", shelf.availability(every, 2))]
+
+
+@case("folder string, files long, bytes long", ("", 1, 4), ("a", 1, 4), ("a/b", 1, 4))
+def folder_walk(spark):
+    """SRC-15, 17: the files of a folder with their folders, four levels deep at most; hidden ones are left out."""
+    root = f"{_work(spark)}/walk"
+    line = spark.createDataFrame([("one",)], "value string").coalesce(1)
+    for at in ("", "/a", "/a/b", "/a/b/c/d/e/f", "/.hidden"):
+        line.write.mode("append").text(f"{root}{at}")
+    return files.files(spark, root.removeprefix("file://")).groupBy("folder").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@case("scope string, candidates string", ("all", "harbor,harbour"), ("one", "harbor"))
+def vocabulary_in_scope(spark):
+    """JN-11, AGG-11: a misspelt word's candidates come from the documents in scope."""
+    docs = spark.createDataFrame([(1, "t", "harbour"), (2, "t", "harbor")], "doc_id long, source string, text string")
+    out = []
+    for name, where in (("all", "true"), ("one", "doc_id = 2")):
+        vocab = evidence.vocabulary(library.scoped(docs, docs.where(where), None))
+        out.append((name, ",".join(sorted(r.term for r in evidence.spelling_candidates(vocab, "harbuor").collect()))))
+    return out
+
+
+@case("doc_id long", (2,), (3,))
+def bookmarked(spark):
+    """FLT-10, 7: of the bookmarked documents those whose title or author has the text, in any case."""
+    rows = spark.createDataFrame([(1, "Tides", "Ann"), (2, "On TIDES", "Bo"), (3, "Moon", "M. Tide"), (4, "Tide", "Bo")], "doc_id long, title string, author string")
+    marked = spark.createDataFrame([(2,), (3,)], "doc_id long")
+    return library.matching(library.scoped(rows, marked, None), "tide", "title", "author")
+
+
+@case("name string, json string", ("body", '[{"start":0,"end":4}]'), ("none", "[]"))
+def range_json(spark):
+    """JSN-1: body ranges as JSON and back."""
+    kind = "array<struct<start:int,end:int>>"
+    rows = spark.createDataFrame([("body", [(0, 4)]), ("none", [])], f"name string, r {kind}")
+    return rows.withColumn("json", F.to_json("r")).withColumn("back", F.from_json("json", kind)).where(F.col("back").eqNullSafe(F.col("r")))
+
+
+@case("doc_id long, sections string", (1, "The slow tide turns|and the moon pulls"), (6, "the quiet old river"))
+def embedding_corpus(spark):
+    """SNK-9: documents with their sections in order, for encoders."""
+    rows = spark.createDataFrame(_BOOKS, _SHELF).where("doc_id IN (1, 6)")
+    own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("s"))
+    whole = own.where(F.forall(F.transform("s", lambda x, i: x["ordinal"] == i), lambda x: x))
+    return whole.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("sections"))
