@@ -15,6 +15,10 @@ Every text is then read once more, and windows of repeated surroundings or pairs
 128 bits of two independent hashes; the rounds before use 64, where equal hashes only mean that a position isn't dropped yet.
 The sets of ranks that stay are sorted arrays in shared files, memory-mapped by the workers.
 
+How many words LENGTH bytes hold depends on the language, so passages that repeat are also found by words, with the same rounds over
+sequences of words ([^\\x20\\x09-\\x0D]+): every run of PASSAGE words that also begins anywhere else. Words are few beside
+bytes, and go without the first round. Nothing is removed for them.
+
 Defined results: null counts as empty; texts of fewer than LENGTH bytes lose nothing; overlapping occurrences in one text
 count, so a run of one byte longer than LENGTH loses all; repeated rows are different documents and so repeat each other;
 an empty table gives an empty result; long texts are handled in overlapping parts; other columns are ignored.
@@ -30,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, drop_path, pieces, text_bytes, written
 from .store import Sets, write_set
-from .texthash import U, chain, mix
+from .texthash import WHITE, U, chain, mix, span_hashes, spans
 
 LENGTH = 400
+#: Words of a passage: over 50.
+PASSAGE = 51
 #: Bytes of a text that are handled at once, besides an overlap.
 PART = 4 << 20
 #: Bytes of short texts that are handled at once.
@@ -157,17 +163,30 @@ class Ranks:
         return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(of)), of
 
 
-def parts(batches, length: int):
-    """(batch, buf, offsets, skip) of pieces; a long text comes alone, in parts that share length - 1 bytes, with its own
-    number of the part as skip (None for pieces of whole texts)."""
+def word_sequence(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' words laid end to end, and the offsets of the texts in them."""
+    starts, ends, upto = spans(buf, offsets, WHITE)
+    return span_hashes(buf, starts, ends), np.concatenate(([0], upto))
+
+
+def parts(batches, length: int, words: bool = False):
+    """(batch, buf, offsets, skip) of pieces, buf of bytes or words; a long text comes alone, in parts that share length - 1 of
+    them, with its own number of the part as skip (None for pieces of whole texts)."""
     for batch in pieces(batches, limit=PIECE):
         buf, offsets = text_bytes(batch.column(1))
-        if len(buf) <= 2 * PART or batch.num_rows > 1:
-            yield batch, buf, offsets, None
-            continue
-        for k, at in enumerate(range(0, len(buf) - length + 1, PART)):
-            part = buf[at : at + PART + length - 1]
-            yield batch, part, np.array([0, len(part)]), k
+        if words:
+            buf, offsets = word_sequence(buf, offsets)
+        for part, cuts, k in _cut(buf, offsets, length):
+            yield batch, part, cuts, k
+
+
+def _cut(buf: np.ndarray, offsets: np.ndarray, length: int):
+    if len(buf) <= 2 * PART or len(offsets) > 2:
+        yield buf, offsets, None
+        return
+    for k, at in enumerate(range(0, len(buf) - length + 1, PART)):
+        part = buf[at : at + PART + length - 1]
+        yield part, np.array([0, len(part)]), k
 
 
 def _counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,17 +216,19 @@ def _first(length: int):
     return run
 
 
-def _left(r: Ranks, ranks: Sets) -> np.ndarray:
-    """The anchors that round 1 left."""
+def _left(r: Ranks, ranks: Sets | None) -> np.ndarray:
+    """The anchors that round 1 left; all without one."""
+    if ranks is None:
+        return np.arange(len(r.anchor))
     return np.flatnonzero(ranks.has(r.rank(r.anchor, min(1, len(r.lengths) - 2))))
 
 
-def _second(length: int, first: tuple):
+def _second(length: int, first: tuple | None, words: bool):
     """Round 2: the pairs of the anchors that are left, with their surroundings."""
 
     def run(batches):
-        ranks = Sets(*first)
-        for _, buf, offsets, _ in parts(batches, length):
+        ranks = Sets(*first) if first else None
+        for _, buf, offsets, _ in parts(batches, length, words):
             r = Ranks(buf, offsets, length)
             some = _left(r, ranks)
             c1, c2 = r.classes(some)
@@ -217,12 +238,12 @@ def _second(length: int, first: tuple):
     return run
 
 
-def _third(length: int, again: tuple, whole: tuple):
+def _third(length: int, again: tuple, whole: tuple, words: bool):
     """Round 3: the pairs of all windows of the anchors that are left."""
 
     def run(batches):
         ranks, classes = Sets(*again), Sets(*whole)
-        for _, buf, offsets, _ in parts(batches, length):
+        for _, buf, offsets, _ in parts(batches, length, words):
             r = Ranks(buf, offsets, length)
             chosen = np.flatnonzero(ranks.has(r.rank(r.anchor, len(r.lengths) - 2)))
             c1, c2 = r.classes(chosen)
@@ -242,7 +263,7 @@ def _third(length: int, again: tuple, whole: tuple):
     return run
 
 
-def _covered(r: Ranks, n: int, first: Sets, ranks: Sets, classes: Sets, doubles: Sets) -> np.ndarray:
+def _covered(r: Ranks, n: int, first: Sets | None, ranks: Sets, classes: Sets, doubles: Sets) -> np.ndarray:
     """For each byte: how many repeated windows begin there, less those that ended."""
     change = np.zeros(n + 1, np.int32)
     some = _left(r, first)
@@ -259,52 +280,68 @@ def _covered(r: Ranks, n: int, first: Sets, ranks: Sets, classes: Sets, doubles:
     return change
 
 
-def _removal(length: int, found: tuple[tuple, ...], texts: bool):
+def _gone(buf: np.ndarray, offsets: np.ndarray, length: int, sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes or words repeated windows cover, and of each text how many and in how many runs."""
+    change = np.zeros(len(buf) + 1, np.int32)
+    for part, cuts, k in _cut(buf, offsets, length):
+        at = (k or 0) * PART
+        change[at : at + len(part) + 1] += _covered(Ranks(part, cuts, length), len(part), *sets)
+    gone = np.cumsum(change[:-1]) > 0
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[offsets] = True
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1] | edge[1 : len(buf)]
+    upto, runs = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(begin)))
+    return gone, np.diff(upto[offsets]), np.diff(runs[offsets])
+
+
+def _removal(length: int, found: tuple, passage: int, found_words: tuple | None, texts: bool):
     def run(batches):
-        sets = [Sets(*x) for x in found]
+        sets, of_words = ([x and Sets(*x) for x in f or ()] for f in (found, found_words))
         for batch in pieces(batches, limit=PIECE):
             buf, offsets = text_bytes(batch.column(1))
-            change = np.zeros(len(buf) + 1, np.int32)
-            if len(buf) <= 2 * PART or batch.num_rows > 1:
-                change += _covered(Ranks(buf, offsets, length), len(buf), *sets)
-            else:
-                for at in range(0, len(buf) - length + 1, PART):
-                    part = buf[at : at + PART + length - 1]
-                    change[at : at + len(part) + 1] += _covered(Ranks(part, np.array([0, len(part)]), length), len(part), *sets)
-            gone = np.cumsum(change[:-1]) > 0
-            edge = np.zeros(len(buf) + 1, bool)
-            edge[offsets] = True
-            begin = gone.copy()
-            begin[1:] &= ~gone[:-1] | edge[1 : len(buf)]
-            upto, runs = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(begin)))
+            gone, n, runs = _gone(buf, offsets, length, sets)
             kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            cols = [batch.column(0), pa.array(np.diff(offsets)), pa.array(np.diff(upto[offsets])), pa.array(np.diff(runs[offsets]))]
-            last = pa.array(kept, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, last], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"])
+            cols = [batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(runs)]
+            cols.append(pa.array(kept, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"]
+            if found_words:
+                _, n, runs = _gone(*word_sequence(buf, offsets), passage, of_words)
+                cols, names = [*cols, pa.array(n), pa.array(runs)], [*names, "n_repeated_words", "n_passages"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def removed(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary, with texts) or kept_sha256 of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    pairs = rows.mapInArrow(_first(length), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1")
-    pairs = written(pairs.select("rank"), "pairs")
-    first = write_set(pairs, ["rank"], "round1")
-    drop_path(spark, pairs._lexiloom_path)
+def _repeated(rows: DataFrame, length: int, words: bool) -> tuple:
+    """The sets of the rounds: of the first (None for words), ranks with different surroundings, repeated surroundings, repeated pairs."""
+    spark, first = rows.sparkSession, None
+    if not words:
+        pairs = rows.mapInArrow(_first(length), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).where("n > 1")
+        pairs = written(pairs.select("rank"), "pairs")
+        first = write_set(pairs, ["rank"], "round1")
+        drop_path(spark, pairs._lexiloom_path)
     # an anchor's rank and its surroundings, with how often these occur
-    seen = written(rows.mapInArrow(_second(length, first), "rank long, c1 long, c2 long, n long").groupBy("rank", "c1", "c2").agg(F.sum("n").alias("n")), "anchors")
+    seen = written(rows.mapInArrow(_second(length, first, words), "rank long, c1 long, c2 long, n long").groupBy("rank", "c1", "c2").agg(F.sum("n").alias("n")), "anchors")
     again = write_set(seen.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1"), ["rank"], "round2")
     whole = write_set(seen.where("n > 1").select("c1", "c2").distinct(), ["c1", "c2"], "surroundings")
     drop_path(spark, seen._lexiloom_path)
-    pairs = rows.mapInArrow(_third(length, again, whole), "p1 long, p2 long, n long").groupBy("p1", "p2").agg(F.sum("n").alias("n")).where("n > 1")
+    pairs = rows.mapInArrow(_third(length, again, whole, words), "p1 long, p2 long, n long").groupBy("p1", "p2").agg(F.sum("n").alias("n")).where("n > 1")
     pairs = written(pairs.select("p1", "p2"), "pairs")
     twice = write_set(pairs, ["p1", "p2"], "round3")
     drop_path(spark, pairs._lexiloom_path)
-    last = "kept binary" if texts else "kept_sha256 string"
-    return rows.mapInArrow(_removal(length, (first, again, whole, twice), texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return first, again, whole, twice
+
+
+def removed(docs: DataFrame, length: int = LENGTH, texts: bool = False, passage: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (binary, with texts) or kept_sha256 of every document; with a passage's number of
+    words, also n_repeated_words and n_passages (runs of such words)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _repeated(rows, length, False)
+    found_words = _repeated(rows, passage, True) if passage else None
+    last = ("kept binary" if texts else "kept_sha256 string") + (", n_repeated_words long, n_passages long" if passage else "")
+    return rows.mapInArrow(_removal(length, found, passage, found_words, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(documents(spark, sf_dir))
+    return removed(documents(spark, sf_dir), passage=PASSAGE)

@@ -45,6 +45,30 @@ def test_random_texts_of_few_letters(spark):
         check(spark, [None, "", *texts], length)
 
 
+def test_passages_by_words(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4)))
+    shared = [word() for _ in range(12)]
+    texts = [None, "", " \n", *[" ".join([*[word() for _ in range(rng.randrange(9))], *shared[rng.randrange(6) : rng.randrange(6, 13)], *[word() for _ in range(rng.randrange(9))]]) for _ in range(60)]]
+    texts += ["x " * 20, "\t".join(shared)]
+    rows = [(i, t, "extra") for i, t in enumerate(texts)]
+    for passage in (4, 7):
+        seen = {}
+        seqs = [[w for w in (t or "").replace("\n", " ").replace("\t", " ").split(" ") if w] for t in texts]
+        for q in seqs:
+            for p in range(len(q) - passage + 1):
+                seen[tuple(q[p : p + passage])] = seen.get(tuple(q[p : p + passage]), 0) + 1
+        want = {}
+        for i, q in enumerate(seqs):
+            gone = [False] * len(q)
+            for p in range(len(q) - passage + 1):
+                if seen[tuple(q[p : p + passage])] > 1:
+                    gone[p : p + passage] = [True] * passage
+            want[i] = (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
+        got = {r.doc_id: (r.n_repeated_words, r.n_passages) for r in suffix_dedup.removed(spark.createDataFrame(rows, SCHEMA), 40, passage=passage).collect()}
+        assert got == want and any(n for n, _ in want.values()) and not all(n for n, _ in want.values())
+
+
 def test_production_length_copies_and_near_copies(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
