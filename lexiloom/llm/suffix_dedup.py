@@ -86,27 +86,33 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 class Ranks:
     """The texts laid end to end in buf: ranks of positions, and the windows' anchors."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-        self.length, self.half, self.lengths = length, -(-length // 2), lengths(length)
-        n = len(buf)
-        power, inverse, power2, inverse2 = _powers(n + 1)
-        self.inverses = inverse, inverse2
-        byte = buf + U(1)
-        self.sums = np.zeros((2, n + 1), U)
-        np.cumsum(byte * power[:n], out=self.sums[0, 1:])
-        np.cumsum(byte * power2[:n], out=self.sums[1, 1:])
-        half = self.half
-        self.least = mix((self.sums[0, half:] - self.sums[0, : n + 1 - half]) * inverse[: n + 1 - half]) if n >= half else np.zeros(0, U)
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, words: bool = False):
+        self.length, self.lengths = length, lengths(length)
+        #: The level of the anchors' ranks; those of words are shorter, so that there are fewer of them.
+        self.level = min(1, len(self.lengths) - 2) if words else len(self.lengths) - 2
+        self.buf = buf
+        self.sums: list[np.ndarray | None] = [None, None]
+        size, n = self.lengths[self.level], len(buf)
+        sums, inverse = self._sum(0)
+        self.least = mix((sums[size:] - sums[: n + 1 - size]) * inverse[: n + 1 - size]) if n >= size else np.zeros(0, U)
         # windows that lie within a text
         sizes = np.diff(offsets)
         fit = np.maximum(sizes - length + 1, 0)
         self.valid = np.flatnonzero(fit)
         self.lo, self.hi = offsets[:-1][self.valid], offsets[:-1][self.valid] + fit[self.valid]  # starts of windows: [lo, hi)
-        self._find()
-
-    def _find(self) -> None:
-        """anchor, first, last: windows from first to last have that anchor."""
-        w = self.length - self.half + 1
+        self._find(length - size + 1)
+
+    def _sum(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the k-th hash, and the powers of its inverse."""
+        n = len(self.buf)
+        powers = _powers(n + 1)
+        if self.sums[k] is None:
+            self.sums[k] = np.zeros(n + 1, U)
+            np.cumsum((self.buf + U(1)) * powers[2 * k][:n], out=self.sums[k][1:])
+        return self.sums[k], powers[2 * k + 1]
+
+    def _find(self, w: int) -> None:
+        """anchor, first, last: windows from first to last have that anchor, one of the w positions from a window's start on."""
         least = sliding_min(self.least, w)
         if not len(self.lo):
             self.anchor = self.first = self.last = np.zeros(0, np.int64)
@@ -122,20 +128,26 @@ class Ranks:
         stop = inside.copy()
         stop[:-1] &= new[1:] | ~inside[1:]
         last = np.flatnonzero(stop)
+        # where the least gets less within a text, it's the position that has just come in
+        entered = least[first] < least[np.maximum(first - 1, 0)]
+        entered[np.searchsorted(first, self.lo)] = False
+        anchor = first + w - 1
         found = []
         while len(first):
-            anchor = np.empty(len(first), np.int64)
-            for at in range(0, len(first), 4096):
-                rows = first[at : at + 4096]
-                anchor[at : at + 4096] = rows + self.least[rows[:, None] + np.arange(w)].argmin(axis=1)
+            search = np.flatnonzero(~entered)
+            for at in range(0, len(search), 4096):
+                rows = first[search[at : at + 4096]]
+                anchor[search[at : at + 4096]] = rows + self.least[rows[:, None] + np.arange(w)].argmin(axis=1)
             found.append((anchor, first, np.minimum(last, anchor)))
             more = last > anchor  # the same rank again further right
             first, last = anchor[more] + 1, last[more]
+            entered, anchor = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
         self.anchor, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def hashes(self, begin: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
         """The k-th hash of the bytes from begin to end."""
-        return mix((self.sums[k, end] - self.sums[k, begin]) * self.inverses[k][begin])
+        sums, inverse = self._sum(k)
+        return mix((sums[end] - sums[begin]) * inverse[begin])
 
     def rank(self, at: np.ndarray, level: int, k: int = 0) -> np.ndarray:
         """The positions' ranks at a level of the lengths: names of the pairs of ranks at the level below, these being hashes
@@ -229,11 +241,11 @@ def _second(length: int, first: tuple | None, words: bool):
     def run(batches):
         ranks = Sets(*first) if first else None
         for _, buf, offsets, _ in parts(batches, length, words):
-            r = Ranks(buf, offsets, length)
+            r = Ranks(buf, offsets, length, words)
             some = _left(r, ranks)
             c1, c2 = r.classes(some)
             at, _, n = _counted(c1, c2)
-            yield _record("rank c1 c2 n", r.rank(r.anchor[some[at]], len(r.lengths) - 2), c1[at], c2[at], n)
+            yield _record("rank c1 c2 n", r.rank(r.anchor[some[at]], r.level), c1[at], c2[at], n)
 
     return run
 
@@ -244,8 +256,8 @@ def _third(length: int, again: tuple, whole: tuple, words: bool):
     def run(batches):
         ranks, classes = Sets(*again), Sets(*whole)
         for _, buf, offsets, _ in parts(batches, length, words):
-            r = Ranks(buf, offsets, length)
-            chosen = np.flatnonzero(ranks.has(r.rank(r.anchor, len(r.lengths) - 2)))
+            r = Ranks(buf, offsets, length, words)
+            chosen = np.flatnonzero(ranks.has(r.rank(r.anchor, r.level)))
             c1, c2 = r.classes(chosen)
             full = classes.has(c1, c2)
             # surroundings that occur again are ranked once a piece, and count as two
@@ -271,7 +283,7 @@ def _covered(r: Ranks, n: int, first: Sets | None, ranks: Sets, classes: Sets, d
     np.add.at(change, r.first[some[full]], 1)
     np.add.at(change, r.last[some[full]] + r.length, -1)
     rest = some[~full]
-    rest = rest[ranks.has(r.rank(r.anchor[rest], len(r.lengths) - 2))]
+    rest = rest[ranks.has(r.rank(r.anchor[rest], r.level))]
     for k in range(0, len(rest), 8192):
         p, _ = r.windows(rest[k : k + 8192])
         p = p[doubles.has(*r.doubled(p))]
@@ -280,12 +292,12 @@ def _covered(r: Ranks, n: int, first: Sets | None, ranks: Sets, classes: Sets, d
     return change
 
 
-def _gone(buf: np.ndarray, offsets: np.ndarray, length: int, sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gone(buf: np.ndarray, offsets: np.ndarray, length: int, sets: list, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which bytes or words repeated windows cover, and of each text how many and in how many runs."""
     change = np.zeros(len(buf) + 1, np.int32)
     for part, cuts, k in _cut(buf, offsets, length):
         at = (k or 0) * PART
-        change[at : at + len(part) + 1] += _covered(Ranks(part, cuts, length), len(part), *sets)
+        change[at : at + len(part) + 1] += _covered(Ranks(part, cuts, length, words), len(part), *sets)
     gone = np.cumsum(change[:-1]) > 0
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
@@ -306,7 +318,7 @@ def _removal(length: int, found: tuple, passage: int, found_words: tuple | None,
             cols.append(pa.array(kept, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"]
             if found_words:
-                _, n, runs = _gone(*word_sequence(buf, offsets), passage, of_words)
+                _, n, runs = _gone(*word_sequence(buf, offsets), passage, of_words, True)
                 cols, names = [*cols, pa.array(n), pa.array(runs)], [*names, "n_repeated_words", "n_passages"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
