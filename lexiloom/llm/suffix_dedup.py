@@ -298,13 +298,21 @@ def _gone(buf: np.ndarray, offsets: np.ndarray, length: int, sets: list, words:
     for part, cuts, k in _cut(buf, offsets, length):
         at = (k or 0) * PART
         change[at : at + len(part) + 1] += _covered(Ranks(part, cuts, length, words), len(part), *sets)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     begin = gone.copy()
     begin[1:] &= ~gone[:-1] | edge[1 : len(buf)]
-    upto, runs = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(begin)))
-    return gone, np.diff(upto[offsets]), np.diff(runs[offsets])
+    return gone, _per_text(gone, offsets), _per_text(begin, offsets)
+
+
+def _per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many marks each text has."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(marks.view(np.int8), offsets[some], dtype=np.int32)
+    return out
 
 
 def _removal(length: int, found: tuple, passage: int, found_words: tuple | None, texts: bool):
@@ -313,7 +321,7 @@ def _removal(length: int, found: tuple, passage: int, found_words: tuple | None,
         for batch in pieces(batches, limit=PIECE):
             buf, offsets = text_bytes(batch.column(1))
             gone, n, runs = _gone(buf, offsets, length, sets)
-            kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            kept = [(buf[a:b][~gone[a:b]] if k else buf[a:b]).tobytes() for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n.tolist(), strict=True)]
             cols = [batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(runs)]
             cols.append(pa.array(kept, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"]
