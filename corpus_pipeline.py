@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from lexiloom.llm.common import documents, read_table, written
+from lexiloom.llm.common import documents, drop_path, read_table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage. A stage's table goes when the next one's stands."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_path(spark, before._lexiloom_path)
+        before = docs
     return docs
