@@ -271,10 +271,11 @@ def vector_topk_docs(spark, sf_dir):
     return semantic.top(_vectors(spark, sf_dir), _probe(spark, sf_dir))
 
 
-@query(f"WITH {_VEC}, w AS (SELECT * FROM v WHERE document_id % 3 = 1) {_BEST.format(v='w')} ORDER BY score DESC, document_id LIMIT 5")
+@query(f"WITH {_VEC}, w AS (SELECT * FROM v WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1)) {_BEST.format(v='w')} ORDER BY score DESC, document_id LIMIT 5")
 def vector_scoped_topk(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return semantic.top(v, _probe(spark, sf_dir), 5, v.select("document_id").distinct().where("document_id % 3 = 1"))
+    """The scope is a table: documents labelled as of quality."""
+    scope = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("long").alias("document_id"))
+    return semantic.top(_vectors(spark, sf_dir), _probe(spark, sf_dir), 5, scope)
 
 
 @query("""SELECT vec_id::BIGINT AS passage, len(embedding) = 64 AND abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-4 AS ok FROM embeddings""")
@@ -306,11 +307,10 @@ def semantic_passages(spark, sf_dir):
     return semantic.passages(sections(_docs(spark, sf_dir)))
 
 
-@query(f"""WITH {SECTIONS}, h AS (SELECT doc_id, min(ordinal) AS hit FROM sec WHERE contains(text, 'idiot') GROUP BY doc_id),
+@query(f"""WITH {SECTIONS}, h AS (SELECT doc_id, ordinal AS hit FROM sec WHERE contains(text, 'idiot')),
 r AS (SELECT s.doc_id, hit, ordinal, substr(text, 1, 2048) AS t, sign(ordinal - hit) AS side FROM h JOIN sec s ON s.doc_id = h.doc_id AND abs(ordinal - hit) <= 4),
 b AS (SELECT *, 4096 - coalesce(sum(length(t)) OVER (PARTITION BY doc_id, hit, side ORDER BY abs(ordinal - hit) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r)
 SELECT doc_id, hit, ordinal, substr(t, 1, room::BIGINT) AS text FROM b WHERE room > 0""")
 def context_neighbours(spark, sf_dir):
     s = sections(_docs(spark, sf_dir))
-    hits = s.where(F.col("text").contains("idiot")).groupBy("doc_id").agg(F.min("ordinal").alias("ordinal"))
-    return semantic.neighbours(s, hits)
+    return semantic.neighbours(s, s.where(F.col("text").contains("idiot")).select("doc_id", "ordinal"))
